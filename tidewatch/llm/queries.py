@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_found": _lazy("leakage", "found", "documents", "eval_items"),
         "p10_found": _lazy("truncation", "found", "documents"),
         "p10_rates": _lazy("truncation", "rates", "documents"),
+        "p7_found": _lazy("neardup", "found", "article"),
         "p8_ids": lambda s, d: importlib.import_module("tidewatch.llm.tokenize").encode(table(s, d, "documents"), "doc_id", "text"),
     }
 
