@@ -20,11 +20,13 @@ def _lazy(module: str, name: str, *tables: str) -> Callable[[SparkSession, str],
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": _lazy("history", "found", "article"),
         "p2_found": _lazy("language", "found", "article", "lang_sample"),
         "p3_found": _lazy("mojibake", "found", "article"),
         "p9_found": _lazy("leakage", "found", "documents", "eval_items"),
         "p10_found": _lazy("truncation", "found", "documents"),
         "p10_rates": _lazy("truncation", "rates", "documents"),
+        "p4_found": _lazy("linkage", "found", "article", "outlet_listing"),
         "p7_found": _lazy("neardup", "found", "article"),
         "p8_ids": lambda s, d: importlib.import_module("tidewatch.llm.tokenize").encode(table(s, d, "documents"), "doc_id", "text"),
     }
