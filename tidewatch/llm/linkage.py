@@ -25,29 +25,44 @@ ACCEPT = 0.5
 NAMES = 5000
 _MATERIAL = r"^(?:[A-Z][a-z]?\d*){2,}x?$|^[a-z]{1,2}-[A-Z](?:[:\-]?[A-Z])*$|^[A-Z]{2,}(?:-phase)?$|^[A-Z][a-z]?\d+$"
 #: Processes look like materials but may be left out of a reworded headline.
-_PROCESS = r"(?i)^(?:.*-)?(?:ald|mld|cvd|pvd|pld|mbe|ibad|pecvd|lpcvd|mocvd|dcms|hipims|sputtering|e-?beam|hollow-cathode)$"
+_PROCESS = r"(?i)^(?:.*-)?(?:ald|mld|cvd|pvd|pld|mbe|ibad|pecvd|lpcvd|mocvd|dcms|hipims|sputtering|e-?beam|hollow-cathode|films?)$"
+_CAPITAL = r"^\p{Lu}\p{Ll}+$"
 
 
-def learn_names(titles: DataFrame, title: str) -> list[str]:
-    """Words that titles write with a capital where it isn't the first word, most frequent first, at most NAMES."""
+def learn_names(titles: DataFrame, title: str) -> tuple[list[str], list[str]]:
+    """Names and materials that titles hold, in small letters, most frequent first, at most NAMES of each.
+
+    A name is a word that titles write with a capital where it isn't the first word, unless it mostly follows
+    another such word, as what a firm does follows what it's called.
+    """
     w = title_words(F.col(title))
-    inner = titles.select(F.explode(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))).alias("w")).filter(F.length("w") >= 6)
-    n = inner.groupBy(F.lower("w").alias("w")).agg(F.count_if(F.col("w").rlike(r"^\p{Lu}\p{Ll}+$")).alias("up"), F.count_if(F.col("w").rlike(r"^\p{Ll}+$")).alias("down"))
-    rows = n.filter((F.col("up") >= 2) & (F.col("up") > 4 * F.col("down"))).orderBy(F.desc("up"), "w").limit(NAMES).collect()
-    return [r["w"] for r in rows]
+    pairs = F.arrays_zip(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))).alias("w"), F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))).alias("before"))
+    inner = titles.select(F.explode(pairs).alias("x")).select("x.w", "x.before").filter(F.col("w").isNotNull())
+    up, down = F.col("w").rlike(_CAPITAL), F.col("w").rlike(r"^\p{Ll}+$")
+    n = inner.filter(F.length("w") >= 6).groupBy(F.lower("w").alias("w")).agg(F.count_if(up).alias("up"), F.count_if(down).alias("down"), F.count_if(up & F.col("before").rlike(_CAPITAL)).alias("after"))
+    names = n.filter((F.col("up") >= 2) & (F.col("up") > 4 * F.col("down")) & (F.col("after") < 0.7 * F.col("up"))).orderBy(F.desc("up"), "w").limit(NAMES).collect()
+    m = inner.filter(F.col("w").rlike(_MATERIAL) & ~F.col("w").rlike(_PROCESS)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    mats = m.filter(F.col("n") >= 3).orderBy(F.desc("n"), "w").limit(NAMES).collect()
+    return [r["w"] for r in names], list(dict.fromkeys(r["w"].lower() for r in mats if r["w"].upper() != r["w"] or len(r["w"]) < 5))
+
 
+def describe(df: DataFrame, key: str, title: str, names: list[str], mats: list[str], whole: bool = False) -> DataFrame:
+    """(k, words, figs, mats, names): what a headline names; null and blank headlines are left out.
 
-def describe(df: DataFrame, key: str, title: str, names: list[str]) -> DataFrame:
-    """(k, words, figs, mats, names): what a headline names; null and blank headlines are left out."""
-    b = df.filter(F.length(F.trim(title)) > 0).select(F.col(key).alias("k"), bare_title(F.col(title)).alias("b"))
+    ``whole``: nothing is taken off the end of the headline.
+    """
+    flat = F.trim(F.regexp_replace(F.col(title), r"\s+", " "))
+    b = df.filter(F.length(F.trim(title)) > 0).select(F.col(key).alias("k"), (flat if whole else bare_title(F.col(title))).alias("b"))
     raw = title_words(F.col("b"))
     low = F.array_distinct(F.transform(raw, F.lower))
-    figs = F.array_distinct(F.filter(raw, lambda w: w.rlike(r"^\d+(?:[.,]\d+)*$")))
-    mats = F.array_distinct(F.transform(F.filter(raw, lambda w: w.rlike(_MATERIAL) & ~w.rlike(_PROCESS)), F.lower))
+    none = F.array().cast("array<string>")
     loud = F.size(F.filter(raw, lambda w: w.rlike(r"^\p{Lu}"))) > 0.6 * F.size(raw)
+    figs = F.array_distinct(F.filter(raw, lambda w: w.rlike(r"^\d+(?:[.,]\d+)*$")))
+    shaped = F.transform(F.filter(raw, lambda w: w.rlike(_MATERIAL) & ~w.rlike(_PROCESS)), F.lower)
+    named = F.filter(low, lambda w: w.isin(mats) if mats else F.lit(False))
     known = F.filter(low, lambda w: w.isin(names) if names else F.lit(False))
-    own = F.transform(F.filter(F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))), lambda w: w.rlike(r"^\p{Lu}\p{Ll}{5,}$")), F.lower)
-    return b.select("k", low.alias("words"), figs.alias("figs"), F.when(loud, F.array().cast("array<string>")).otherwise(mats).alias("mats"), F.array_union(known, F.when(loud, F.array().cast("array<string>")).otherwise(own)).alias("names"), loud.alias("loud"))
+    own = F.transform(F.filter(raw, lambda w, i: (i > 0) & w.rlike(r"^\p{Lu}\p{Ll}{5,}$") & ~F.get(raw, i - 1).rlike(_CAPITAL)), F.lower)
+    return b.select("k", low.alias("words"), figs.alias("figs"), F.array_union(named, F.when(loud, none).otherwise(shaped)).alias("mats"), F.array_union(known, F.when(loud, none).otherwise(own)).alias("names"))
 
 
 def _keys(words: str, figs: str, mats: str, names: str) -> list[Column]:
@@ -55,13 +70,13 @@ def _keys(words: str, figs: str, mats: str, names: str) -> list[Column]:
     join = lambda c: F.array_join(F.array_sort(F.col(c)), " ")
     rest = F.array_join(F.array_sort(F.filter(F.col(words), lambda w: F.length(w) > 4), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), " ")
     any_word = F.concat_ws(" ", join(names), rest)
-    return [F.concat_ws("|", join(figs), join(mats), any_word), F.concat_ws("|", join(figs), any_word), F.concat_ws("|", any_word, join(figs)), F.concat_ws("|", join(mats), any_word)]
+    return [F.concat_ws("|", join(figs), join(mats), any_word), F.concat_ws("|", join(figs), any_word), F.concat_ws("|", any_word, join(figs)), F.concat_ws("|", join(mats), any_word), F.concat_ws("|", join(mats), rest)]
 
 
 def _ranked(both: DataFrame, key: Column) -> DataFrame:
     """Adds r: how many articles stand before the row in the order of ``key``."""
     s = cut(both.select("side", "k", key.alias("key")).repartitionByRange("key", "side", "k").withColumn("p", F.spark_partition_id()))
-    sizes = s.groupBy("p").agg(F.count_if("side = 0").alias("n"))
+    sizes = s.groupBy("p").agg(F.count_if(F.col("side") == 0).alias("n"))
     before = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("p", "base")
     at = F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(W.partitionBy("p").orderBy("key", "side", "k").rowsBetween(W.unboundedPreceding, 0))
     return s.withColumn("at", at).join(F.broadcast(before), "p").select("side", "k", (F.col("base") + F.col("at")).alias("r"))
@@ -89,9 +104,9 @@ def match(articles: DataFrame, listings: DataFrame, a_key: str, a_title: str, a_
     bare = articles.filter(F.length(F.trim(a_title)) > 0).select(F.col(a_key).alias("pos"), bare_title(F.col(a_title)).alias("title"), F.col(a_source).alias("source"), F.col(a_link).alias("link"))
     titles = bare.groupBy(F.lower("title").alias("low")).agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("k"), F.min_by("source", "pos").alias("source"), F.min_by("link", "pos").alias("link"))
     titles = cut(titles)
-    names = learn_names(titles, "title")
-    a = describe(titles, "k", "title", names).join(titles.select("k", "source", "link"), "k")
-    b = describe(listings, l_key, l_title, names).join(listings.select(F.col(l_key).alias("k"), F.col(l_outlet).alias("source"), F.col(l_link).alias("link")).dropDuplicates(["k"]), "k")
+    names, mats = learn_names(titles, "title")
+    a = describe(titles, "k", "title", names, mats).join(titles.select("k", "source", "link"), "k")
+    b = describe(listings, l_key, l_title, names, mats, whole=True).join(listings.select(F.col(l_key).alias("k"), F.col(l_outlet).alias("source"), F.col(l_link).alias("link")).dropDuplicates(["k"]), "k")
     a, b = cut(a), cut(b)
     both = a.select(F.lit(0).alias("side"), "k", "words", "figs", "mats", "names").unionAll(b.select(F.lit(1), "k", "words", "figs", "mats", "names"))
     near = []

@@ -28,11 +28,11 @@ from tidewatch.runtime import cut
 #: Least share of the words of the longer text that both texts have, between "about five sixths" and "three quarters".
 SHARE = 0.79
 #: Of the runs of five words, those of one residue class in so many are kept.
-KEEP_ONE_IN = 4
+KEEP_ONE_IN = 6
 #: Texts of up to BOTH[1] words have all runs of three words as features, texts from BOTH[0] words runs of five.
 BOTH = (36, 48)
 #: Lists longer than this aren't merged but split by a second feature of each text.
-LONG = 100
+LONG = 8
 MERGE_T = 2
 _WORD = re.compile("[぀-ヿ㐀-鿿]|[^\\W_぀-ヿ㐀-鿿]+(?:[.,]\\d+)?")
 
@@ -52,15 +52,15 @@ def _shingles(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def features(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
-    """(k, bag, feats): sorted 16-bit codes of the words, and the kept features.  Texts without a summary are left out."""
+    """(k, h, bag, feats): hash of the text, sorted 16-bit codes of the words, and the kept features.  Texts without a summary are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: dict[str, int] = {}
         for b in batches:
             if len(code) > 300_000:
                 code.clear()
-            keys, bags, feats = [], [], []
-            for k, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            keys, own, bags, feats = [], [], [], []
+            for k, t, s, h0 in zip(*(b.column(i).to_pylist() for i in range(4))):
                 w = words(t, s)
                 if not w:
                     continue
@@ -76,15 +76,16 @@ def features(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
                     wide = _shingles(a, 5)
                     f = np.union1d(f, wide[(wide >> np.uint64(40)) % np.uint64(KEEP_ONE_IN) == 0])
                 keys.append(k)
+                own.append(h0)
                 bags.append(np.sort((a & np.uint64(0xFFFF)).astype(np.uint16)).tobytes())
-                feats.append(f.view(np.int64))
-            flat = pa.array(np.concatenate(feats) if feats else np.zeros(0, np.int64), pa.int64())
+                feats.append(f.view(np.int64) >> 32)
+            flat = pa.array(np.concatenate(feats) if feats else np.zeros(0, np.int64), pa.int64()).cast(pa.int32())
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in feats])]).astype(np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(bags, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["k", "bag", "feats"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(own, pa.int64()), pa.array(bags, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["k", "h", "bag", "feats"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.filter(F.length(F.trim(summary)) > 0).select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(summary).alias("s"))
-    return rows.mapInArrow(run, f"k {kind}, bag binary, feats array<bigint>")
+    rows = df.filter(F.length(F.trim(summary)) > 0).select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(summary).alias("s"), F.xxhash64(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.col(summary)).alias("h"))
+    return rows.mapInArrow(run, f"k {kind}, h bigint, bag binary, feats array<int>")
 
 
 def same_text(a: bytes, b: bytes) -> bool:
@@ -108,25 +109,17 @@ def class_pairs(df: DataFrame, key: str, title: str, summary: str) -> tuple[Data
     Null titles count as empty; rows with a null, empty or blank summary take no part.  Repeated rows are
     members of one class.  Columns other than the named ones are ignored, whatever their names.
     """
-    texts = df.filter(F.length(F.trim(summary)) > 0).select(F.col(key), F.col(title), F.col(summary))
-    same = F.xxhash64(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.col(summary)), F.hash(F.col(summary))
-    groups = texts.groupBy(*same).agg(F.min(key).alias("rep"), F.collect_list(key).alias("ks"))
+    feats = cut(features(df, key, title, summary))
+    groups = feats.groupBy("h").agg(F.min("k").alias("rep"), F.collect_list("k").alias("ks"))
     members = cut(groups.select("rep", F.explode("ks").alias("k")))
-    reps = texts.join(members.filter("rep = k").select(F.col("rep").alias(key)), key, "left_semi")
-    feats = cut(features(reps, key, title, summary))
-    lists = feats.select("k", F.explode("feats").alias("f")).groupBy("f").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    short = lists.filter((F.size("ks") > 1) & (F.size("ks") <= LONG)).select("ks", F.posexplode("ks").alias("i", "a"))
-    refined = (
-        lists.filter(F.size("ks") > LONG)
-        .select("f", F.explode("ks").alias("k"))
-        .join(feats.select("k", F.slice("feats", 1, 3).alias("own")), "k")
-        .select("k", F.explode("own").alias("g"), "f")
-        .filter("f <> g")
-        .groupBy("f", "g")
-        .agg(F.sort_array(F.collect_list("k")).alias("ks"))
-        .filter(F.size("ks") > 1)
-    )
-    short = short.unionAll(refined.select("ks", F.posexplode("ks").alias("i", "a")))
+    reps = feats.select("k", "feats").join(members.filter("rep = k").select("k"), "k", "left_semi")
+    after = F.concat(F.slice("feats", 2, F.size("feats")), F.slice("feats", 1, 1))
+    posting = reps.select("k", F.explode(F.arrays_zip(F.col("feats").alias("f"), after.alias("g"))).alias("x")).select("x.f", "x.g", "k")
+    lists = posting.groupBy("f").agg(F.collect_list(F.struct("k", "g")).alias("l")).filter(F.size("l") > 1)
+    lists = cut(lists.select("f", F.when(F.size("l") <= LONG, F.sort_array(F.col("l.k"))).alias("ks"), F.when(F.size("l") > LONG, F.col("l")).alias("l")))
+    refined = lists.filter("l is not null").select("f", F.explode("l").alias("x")).groupBy("f", "x.g").agg(F.sort_array(F.collect_list("x.k")).alias("ks")).filter(F.size("ks") > 1)
+    every = lists.filter("ks is not null").select("ks").unionAll(refined.select("ks"))
+    short = every.select("ks", F.posexplode("ks").alias("i", "a"))
     merged = short.select("a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b"))
     candidates = merged.groupBy("a", "b").count().filter(F.col("count") >= MERGE_T).select("a", "b")
     bags = feats.select("k", "bag")

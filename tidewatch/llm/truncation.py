@@ -90,6 +90,6 @@ def rates(documents: DataFrame) -> DataFrame:
     return (
         detect(documents, "doc_id", "text", "source")
         .groupBy("source")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("n_cut"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cut")).alias("n_cut"))
         .withColumn("share", F.round(F.col("n_cut") / F.col("n"), 6))
     )
