@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p10_found": _lazy("truncation", "found", "documents"),
         "p10_rates": _lazy("truncation", "rates", "documents"),
         "p4_found": _lazy("linkage", "found", "article", "outlet_listing"),
+        "p5_found": _lazy("actors", "found", "discovered_actors"),
+        "p6_choice": _lazy("subset", "choice", "article", "digest_request"),
         "p7_found": _lazy("neardup", "found", "article"),
         "p8_ids": lambda s, d: importlib.import_module("tidewatch.llm.tokenize").encode(table(s, d, "documents"), "doc_id", "text"),
     }
