@@ -48,17 +48,23 @@ def _letters(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.concat(F.lit("5"), F.substring(F.md5(w), 1, 3))), "")), "UTF-16BE")
 
 
-def prepare(df: DataFrame, key: str, title: str) -> DataFrame:
-    """(t, rep, words, n, key, letters, names): distinct bare titles in small letters, with the least key that bears each."""
-    bare = df.filter(F.length(F.trim(title)) > 0).select(F.col(key).alias("k"), bare_title(F.col(title)).alias("b"))
+def described(df: DataFrame, key: str, title: str, link: str | None = None) -> DataFrame:
+    """(k, u, th, t, names): canonical link and bare title in small letters, with hashes of both; null where there is none."""
+    u = F.xxhash64(canonical_url(F.col(link))) if link else F.lit(None).cast("bigint")
+    has = canonical_url(F.col(link)).isNotNull() if link else F.lit(False)
     raw = title_words(F.col("b"))
     loud = F.size(F.filter(raw, lambda w: w.rlike(r"^\p{Lu}"))) > F.size(raw) * 0.6
     names = F.when(loud, F.array().cast("array<string>")).otherwise(F.transform(F.filter(raw, lambda w: w.rlike(_SHAPE)), F.lower))
-    low = F.transform(raw, F.lower)
-    rows = bare.select("k", F.array_join(low, " ").alias("t"), names.alias("names")).filter("t <> ''")
-    one = rows.groupBy("t").agg(F.min("k").alias("rep"), F.min_by("names", F.struct(-F.size("names"), "k")).alias("names"))
-    words = F.split("t", " ")
-    return one.select("t", "rep", words.alias("words"), F.size(words).alias("n"), _key(words).alias("key"), _letters(words).alias("letters"), "names")
+    bare = df.select(F.col(key).alias("k"), F.when(has, u).alias("u"), F.when(F.length(F.trim(title)) > 0, bare_title(F.col(title))).alias("b"))
+    rows = bare.select("k", "u", F.nullif(F.array_join(F.transform(raw, F.lower), " "), F.lit("")).alias("t"), names.alias("names"))
+    return rows.select("k", "u", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("th"), "t", "names")
+
+
+def prepare(rows: DataFrame) -> DataFrame:
+    """(rep, words, n, key, letters, names): distinct titles of ``described`` rows, with the least key that bears each."""
+    one = rows.filter("th is not null").groupBy("th").agg(F.min(F.struct("k", "t", "names")).alias("x"))
+    words = F.split("x.t", " ")
+    return one.select(F.col("x.k").alias("rep"), "th", words.alias("words"), F.size(words).alias("n"), _key(words).alias("key"), _letters(words).alias("letters"), F.col("x.names").alias("names"))
 
 
 def _segments(n: Column) -> Column:
@@ -69,24 +75,34 @@ def _segments(n: Column) -> Column:
 
 
 def index_entries(titles: DataFrame) -> DataFrame:
-    """Rows of the segment index: (h, rep, n, letters, names, words)."""
-    seg = titles.select("rep", "n", "key", "letters", "names", "words", F.explode(_segments(F.col("n"))).alias("s"))
-    h = F.xxhash64("key", "n", "s.i", F.substring(F.col("letters"), F.col("s.at") + 1, F.col("s.len")))
-    return seg.select(h.alias("h"), "rep", "letters", "names", "words")
-
-
-def probe(titles: DataFrame, index: DataFrame) -> DataFrame:
-    """(a, b): pairs of a title of ``titles`` and one of the index, within EDITS word edits, naming the same things."""
-    sizes = F.array(*(F.col("n") + d for d in range(0, EDITS + 1)))
-    p = titles.select("rep", "n", "key", "letters", "names", "words", F.explode(sizes).alias("m"))
-    p = p.select("*", F.explode(_segments(F.col("m"))).alias("s"))
-    shifts = F.sequence(F.greatest(F.lit(0), F.col("s.at") - EDITS), F.least(F.col("s.at") + EDITS, F.col("n") - F.col("s.len")))
-    p = p.filter(F.col("n") - F.col("s.len") >= F.greatest(F.lit(0), F.col("s.at") - EDITS)).select("*", F.explode(shifts).alias("at"))
-    h = F.xxhash64("key", "m", "s.i", F.substring(F.col("letters"), F.col("at") + 1, F.col("s.len")))
-    q = p.select(h.alias("h"), F.col("rep").alias("a"), F.col("letters").alias("la"), F.col("names").alias("na"), F.col("words").alias("wa")).dropDuplicates(["h", "a"])
-    x = q.join(index.toDF("h", "b", "lb", "nb", "wb"), "h").filter("a <> b")
+    """Rows of the segment index: (h, rep), h standing for figures, length, number and content of the segment."""
+    seg = titles.select("rep", "n", "key", "letters", F.explode(_segments(F.col("n"))).alias("s"))
+    return seg.select(F.xxhash64("key", "n", "s.i", F.substring(F.col("letters"), F.col("s.at") + 1, F.col("s.len"))).alias("h"), "rep")
+
+
+def probes(titles: DataFrame) -> DataFrame:
+    """(h, a): the substrings of each title that can line up with a segment of an equally long or longer one.
+
+    Segment i has at most i edits before it and EDITS - i after it, which bounds the places it can have.
+    """
+    p = titles.select("rep", "n", "key", "letters", F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("d"))
+    p = p.select("*", (F.col("n") + F.col("d")).alias("m")).select("*", F.explode(_segments(F.col("m"))).alias("s"))
+    low = F.greatest(F.lit(0), F.col("s.at") + F.greatest(-F.col("s.i"), -F.col("d") - (EDITS - F.col("s.i"))))
+    high = F.least(F.col("n") - F.col("s.len"), F.col("s.at") + F.least(F.col("s.i"), -F.col("d") + (EDITS - F.col("s.i"))))
+    p = p.filter(low <= high).select("*", F.explode(F.sequence(low, high)).alias("at"))
+    return p.select(F.xxhash64("key", "m", "s.i", F.substring(F.col("letters"), F.col("at") + 1, F.col("s.len"))).alias("h"), F.col("rep").alias("a"))
+
+
+def probe(titles: DataFrame, index: DataFrame, stored: DataFrame) -> DataFrame:
+    """(a, b): pairs of a title and one of the index within EDITS word edits that name the same things.
+
+    ``stored`` holds the titles behind the index.
+    """
+    pairs = probes(titles).join(index.toDF("h", "b"), "h").filter("a <> b").select("a", "b").distinct()
+    x = pairs.join(titles.select(F.col("rep").alias("a"), F.col("letters").alias("la"), F.col("names").alias("na"), F.col("words").alias("wa")), "a")
+    x = x.join(stored.select(F.col("rep").alias("b"), F.col("letters").alias("lb"), F.col("names").alias("nb"), F.col("words").alias("wb")), "b")
     same = (F.levenshtein("la", "lb", EDITS) >= 0) & (F.size(F.array_except("na", "wb")) == 0) & (F.size(F.array_except("nb", "wa")) == 0)
-    return x.filter(same).filter(_same_firm("wa", "wb") & _same_firm("wb", "wa")).select("a", "b").distinct()
+    return x.filter(same).filter(_same_firm("wa", "wb") & _same_firm("wb", "wa")).select("a", "b")
 
 
 def _same_firm(a: str, b: str) -> Column:
@@ -101,13 +117,12 @@ def pieces(df: DataFrame, key: str, title: str, link: str) -> DataFrame:
     Null, blank and hostless links and null or blank titles match nothing; a row with neither is a piece of
     its own.  Equal titles and equal links are linked to the least key that bears them, without pairs.
     """
-    rows = df.select(F.col(key).alias("k"), canonical_url(F.col(link)).alias("u"), F.col(title).alias("title"))
-    titles = cut(prepare(rows, "k", "title"))
-    near = probe(titles, index_entries(titles))
-    low = F.array_join(F.transform(title_words(bare_title(F.col("title"))), F.lower), " ")
-    by_title = rows.filter(F.length(F.trim("title")) > 0).select("k", low.alias("t")).join(titles.select("t", "rep"), "t").filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    rows = cut(described(df, key, title, link))
+    titles = cut(prepare(rows))
+    near = probe(titles, index_entries(titles), titles)
+    by_title = rows.select("k", "th").join(titles.select("th", "rep"), "th").filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     links = rows.filter("u is not null").groupBy("u").agg(F.min("k").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    by_link = rows.join(links, "u").filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
+    by_link = rows.select("k", "u").join(links, "u").filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
     return components(near.unionAll(by_title).unionAll(by_link)).select(F.col("node").alias("k"), F.col("root").alias("piece"))
 
 

@@ -3,8 +3,8 @@
 T-occurrence search.  The features of a text are its runs of five words (characters, for Japanese), of which
 a fixed share, chosen by hash, is kept, and of three words for short texts.  The inverted lists of the features
 are merged where they are short: a pair that occurs in at least ``MERGE_T`` of them is a candidate.  Long lists
-aren't merged as they stand: each is split by a second feature of its texts first, so that only texts that
-share more than a common phrase meet.  A candidate's whole bag of words is then probed, as DivideSkip does for
+aren't merged as they stand: each is split by a second feature of its texts, and by a third if it's still long,
+so that only texts that share more than a common phrase meet.  A candidate's whole bag of words is then probed, as DivideSkip does for
 long lists, and the pair is kept where the count of common words reaches T.
 
 Exact copies are one class from the start; classes are paired and their members listed only at the end.
@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ KEEP_ONE_IN = 6
 #: Texts of up to BOTH[1] words have all runs of three words as features, texts from BOTH[0] words runs of five.
 BOTH = (36, 48)
 #: Lists longer than this aren't merged but split by a second feature of each text.
-LONG = 8
+LONG = 12
 MERGE_T = 2
 _WORD = re.compile("[぀-ヿ㐀-鿿]|[^\\W_぀-ヿ㐀-鿿]+(?:[.,]\\d+)?")
 
@@ -41,60 +41,100 @@ def words(title: str | None, summary: str | None) -> list[str]:
     return _WORD.findall(f"{repair(title) or ''} {repair(summary) or ''}".lower())
 
 
-def _shingles(codes: np.ndarray, width: int) -> np.ndarray:
-    """Distinct hashes of the runs of ``width`` words; a shorter text is one run."""
-    width = min(width, len(codes))
-    h = np.zeros(len(codes) - width + 1, np.uint64)
+class Codes(dict):
+    """Word -> code, remembered within bounds."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        code = self[word] = zlib.crc32(word.encode())
+        return code
+
+
+_MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _runs(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` words within one text, and the texts they belong to."""
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.full(n, width, np.uint64)
     for i in range(width):
-        h = (h ^ codes[i : len(codes) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ codes[i : n + i]) * _MIX[0]
         h ^= h >> np.uint64(29)
-    return np.unique(h)
+    inside = doc[:n] == doc[width - 1 :]
+    return h[inside], doc[:n][inside]
+
+
+def _partners(f: np.ndarray, mix: np.uint64) -> np.ndarray:
+    """For each feature another one of the same text, chosen by a hash of both, so that like texts choose alike."""
+    if len(f) < 2:
+        return f
+    u = f.view(np.uint32).astype(np.uint64)
+    m = ((u[:, None] * _MIX[0]) ^ (u[None, :] * mix)) * _MIX[2]
+    m ^= m >> np.uint64(31)
+    np.fill_diagonal(m, np.iinfo(np.uint64).max)
+    return f[m.argmin(1)]
+
+
+def _block(texts: list[list[str]], codes: Codes) -> tuple[list[bytes], list[np.ndarray]]:
+    """Bag and kept features of each text of a block."""
+    size = np.array([len(w) for w in texts], np.int64)
+    flat = np.fromiter((c for w in texts for c in map(codes.__getitem__, w)), np.uint64, int(size.sum()))
+    doc = np.repeat(np.arange(len(texts)), size)
+    short = (flat & np.uint64(0xFFFF)).astype(np.int64)
+    order = np.argsort(doc * 65536 + short, kind="stable")
+    edge = np.concatenate([[0], np.cumsum(size)])
+    bags = short[order].astype(np.uint16)
+    h3, d3 = _runs(flat, doc, 3)
+    h5, d5 = _runs(flat, doc, 5)
+    keep3 = size[d3] <= BOTH[1]
+    keep5 = (size[d5] >= BOTH[0]) & ((h5 >> np.uint64(40)) % np.uint64(KEEP_ONE_IN) == 0)
+    tiny = size[doc] < 3  # texts of one or two words are their own features
+    h, d = np.concatenate([h3[keep3], h5[keep5], flat[tiny] * _MIX[0]]), np.concatenate([d3[keep3], d5[keep5], doc[tiny]])
+    pairs = np.unique(np.stack([d, (h >> np.uint64(32)).astype(np.uint32).astype(np.int64)], 1), axis=0) if len(d) else np.zeros((0, 2), np.int64)
+    cut_at = np.searchsorted(pairs[:, 0], np.arange(len(texts) + 1))
+    f = pairs[:, 1].astype(np.uint32).view(np.int32)
+    return [bags[edge[i] : edge[i + 1]].tobytes() for i in range(len(texts))], [f[cut_at[i] : cut_at[i + 1]] for i in range(len(texts))]
 
 
 def features(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
-    """(k, h, bag, feats): hash of the text, sorted 16-bit codes of the words, and the kept features.  Texts without a summary are left out."""
+    """(k, h, bag, f, g1, g2): hash of the text, sorted 16-bit codes of the words, kept features and two partners of each.
+
+    Texts without a summary are left out.
+    """
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code: dict[str, int] = {}
+        codes = Codes()
         for b in batches:
-            if len(code) > 300_000:
-                code.clear()
-            keys, own, bags, feats = [], [], [], []
-            for k, t, s, h0 in zip(*(b.column(i).to_pylist() for i in range(4))):
-                w = words(t, s)
-                if not w:
-                    continue
-                ids = []
-                for x in w:
-                    h = code.get(x)
-                    if h is None:
-                        h = code[x] = zlib.crc32(x.encode())
-                    ids.append(h)
-                a = np.array(ids, np.uint64)
-                f = _shingles(a, 3) if len(a) <= BOTH[1] else np.zeros(0, np.uint64)
-                if len(a) >= BOTH[0]:
-                    wide = _shingles(a, 5)
-                    f = np.union1d(f, wide[(wide >> np.uint64(40)) % np.uint64(KEEP_ONE_IN) == 0])
-                keys.append(k)
-                own.append(h0)
-                bags.append(np.sort((a & np.uint64(0xFFFF)).astype(np.uint16)).tobytes())
-                feats.append(f.view(np.int64) >> 32)
-            flat = pa.array(np.concatenate(feats) if feats else np.zeros(0, np.int64), pa.int64()).cast(pa.int32())
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in feats])]).astype(np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(own, pa.int64()), pa.array(bags, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["k", "h", "bag", "feats"])
+            texts = [words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            bags, f = _block(texts, codes)
+            partners = [lists([_partners(x, mix) for x in f]) for mix in _MIX[1:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(bags, pa.binary()), lists(f), *partners], ["k", "h", "bag", "f", "g1", "g2"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.filter(F.length(F.trim(summary)) > 0).select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(summary).alias("s"), F.xxhash64(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.col(summary)).alias("h"))
-    return rows.mapInArrow(run, f"k {kind}, h bigint, bag binary, feats array<int>")
+    return rows.mapInArrow(run, f"k {kind}, h bigint, bag binary, f array<int>, g1 array<int>, g2 array<int>")
 
 
 def same_text(a: bytes, b: bytes) -> bool:
     """Whether two bags of codes share at least SHARE of the larger one."""
-    x, y = np.frombuffer(a, np.uint16).tolist(), np.frombuffer(b, np.uint16).tolist()
-    most = max(len(x), len(y))
-    if min(len(x), len(y)) < SHARE * most:
+    most, least = max(len(a), len(b)) // 2, min(len(a), len(b)) // 2
+    if least < SHARE * most:
         return False
-    return sum((Counter(x) & Counter(y)).values()) >= SHARE * most
+    both = np.sort(np.concatenate([_numbered(a), _numbered(b)]))
+    return int((both[1:] == both[:-1]).sum()) >= SHARE * most
+
+
+def _numbered(bag: bytes) -> np.ndarray:
+    """Codes of a sorted bag, repeated ones made distinct by their number."""
+    x = np.frombuffer(bag, np.uint16).astype(np.int64)
+    return x * 4096 + np.arange(len(x)) - np.searchsorted(x, x)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +152,22 @@ def class_pairs(df: DataFrame, key: str, title: str, summary: str) -> tuple[Data
     feats = cut(features(df, key, title, summary))
     groups = feats.groupBy("h").agg(F.min("k").alias("rep"), F.collect_list("k").alias("ks"))
     members = cut(groups.select("rep", F.explode("ks").alias("k")))
-    reps = feats.select("k", "feats").join(members.filter("rep = k").select("k"), "k", "left_semi")
-    after = F.concat(F.slice("feats", 2, F.size("feats")), F.slice("feats", 1, 1))
-    posting = reps.select("k", F.explode(F.arrays_zip(F.col("feats").alias("f"), after.alias("g"))).alias("x")).select("x.f", "x.g", "k")
-    lists = posting.groupBy("f").agg(F.collect_list(F.struct("k", "g")).alias("l")).filter(F.size("l") > 1)
-    lists = cut(lists.select("f", F.when(F.size("l") <= LONG, F.sort_array(F.col("l.k"))).alias("ks"), F.when(F.size("l") > LONG, F.col("l")).alias("l")))
-    refined = lists.filter("l is not null").select("f", F.explode("l").alias("x")).groupBy("f", "x.g").agg(F.sort_array(F.collect_list("x.k")).alias("ks")).filter(F.size("ks") > 1)
-    every = lists.filter("ks is not null").select("ks").unionAll(refined.select("ks"))
-    short = every.select("ks", F.posexplode("ks").alias("i", "a"))
-    merged = short.select("a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b"))
-    candidates = merged.groupBy("a", "b").count().filter(F.col("count") >= MERGE_T).select("a", "b")
+    reps = feats.select("k", "f", "g1", "g2").join(members.filter("rep = k").select("k"), "k", "left_semi")
+    posting = reps.select("k", F.explode(F.arrays_zip("f", "g1", "g2")).alias("x")).select("x.*", "k")
+    every, level = [], posting
+    for by in (["f"], ["f", "g1"], ["f", "g1", "g2"]):
+        rest = [c for c in ("g1", "g2") if c not in by]
+        lists = level.groupBy(*by).agg(F.collect_list(F.struct("k", *rest)).alias("l")).filter(F.size("l") > 1)
+        if not rest:
+            every.append(lists.select(F.lit(len(by)).alias("n"), F.sort_array("l.k").alias("ks")))
+            break
+        lists = cut(lists)
+        every.append(lists.filter(F.size("l") <= LONG).select(F.lit(len(by)).alias("n"), F.sort_array("l.k").alias("ks")))
+        level = lists.filter(F.size("l") > LONG).select(*by, F.explode("l").alias("x")).select(*by, "x.*")
+    # texts that meet in a list of several features share as many
+    short = reduce(DataFrame.unionAll, every).select("n", "ks", F.posexplode("ks").alias("i", "a"))
+    merged = short.select("n", "a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b"))
+    candidates = merged.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= MERGE_T).select("a", "b")
     bags = feats.select("k", "bag")
     near = candidates.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
     kind = df.schema[key].dataType.simpleString()
