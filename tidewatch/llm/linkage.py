@@ -1,8 +1,7 @@
 """Problem 4: records of two tables that name the same piece without a shared key.
 
-Sorted neighbourhood: articles are put in order by several composite keys, listings take their place in each
-order, and a listing is compared with the articles at most ``WINDOW`` places away.  The order is a rank over
-the whole table, made from partition counts, so the sliding window is an equi-join on ranks.  Similarities
+Sorted neighbourhood: articles and listings are put in order by several composite keys, and a listing is compared
+with the articles at most ``WINDOW`` rows away in some order.  Similarities
 of figures, materials, names, wording, outlet and link are weighted into a confidence, and each listing is
 assigned the article that has most (an article may have several listings).
 """
@@ -37,13 +36,15 @@ def learn_names(titles: DataFrame, title: str) -> tuple[list[str], list[str]]:
     """
     w = title_words(F.col(title))
     pairs = F.arrays_zip(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))).alias("w"), F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))).alias("before"))
-    inner = titles.select(F.explode(pairs).alias("x")).select("x.w", "x.before").filter(F.col("w").isNotNull())
+    quiet = titles.filter(F.col(title) != F.upper(title))
+    inner = quiet.select(F.explode(pairs).alias("x")).select("x.w", "x.before").filter(F.col("w").isNotNull())
     up, down = F.col("w").rlike(_CAPITAL), F.col("w").rlike(r"^\p{Ll}+$")
     n = inner.filter(F.length("w") >= 6).groupBy(F.lower("w").alias("w")).agg(F.count_if(up).alias("up"), F.count_if(down).alias("down"), F.count_if(up & F.col("before").rlike(_CAPITAL)).alias("after"))
     names = n.filter((F.col("up") >= 2) & (F.col("up") > 4 * F.col("down")) & (F.col("after") < 0.7 * F.col("up"))).orderBy(F.desc("up"), "w").limit(NAMES).collect()
-    m = inner.filter(F.col("w").rlike(_MATERIAL) & ~F.col("w").rlike(_PROCESS)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    mats = m.filter(F.col("n") >= 3).orderBy(F.desc("n"), "w").limit(NAMES).collect()
-    return [r["w"] for r in names], list(dict.fromkeys(r["w"].lower() for r in mats if r["w"].upper() != r["w"] or len(r["w"]) < 5))
+    shaped = F.col("w").rlike(_MATERIAL) & ~F.col("w").rlike(_PROCESS)
+    m = inner.groupBy(F.lower("w").alias("w")).agg(F.count_if(shaped).alias("n"), F.count_if(F.col("w") == F.lower("w")).alias("low"))
+    mats = m.filter((F.col("n") >= 3) & (F.col("n") > F.col("low"))).orderBy(F.desc("n"), "w").limit(NAMES).collect()
+    return [r["w"] for r in names], [r["w"] for r in mats]
 
 
 def describe(df: DataFrame, key: str, title: str, names: list[str], mats: list[str], whole: bool = False) -> DataFrame:
@@ -58,28 +59,54 @@ def describe(df: DataFrame, key: str, title: str, names: list[str], mats: list[s
     none = F.array().cast("array<string>")
     loud = F.size(F.filter(raw, lambda w: w.rlike(r"^\p{Lu}"))) > 0.6 * F.size(raw)
     figs = F.array_distinct(F.filter(raw, lambda w: w.rlike(r"^\d+(?:[.,]\d+)*$")))
-    shaped = F.transform(F.filter(raw, lambda w: w.rlike(_MATERIAL) & ~w.rlike(_PROCESS)), F.lower)
+    shaped = F.transform(F.filter(raw, lambda w: w.rlike(_MATERIAL) & ~w.rlike(_PROCESS) & w.rlike(r"[a-z\d]")), F.lower)
     named = F.filter(low, lambda w: w.isin(mats) if mats else F.lit(False))
     known = F.filter(low, lambda w: w.isin(names) if names else F.lit(False))
     own = F.transform(F.filter(raw, lambda w, i: (i > 0) & w.rlike(r"^\p{Lu}\p{Ll}{5,}$") & ~F.get(raw, i - 1).rlike(_CAPITAL)), F.lower)
     return b.select("k", low.alias("words"), figs.alias("figs"), F.array_union(named, F.when(loud, none).otherwise(shaped)).alias("mats"), F.array_union(known, F.when(loud, none).otherwise(own)).alias("names"))
 
 
-def _keys(words: str, figs: str, mats: str, names: str) -> list[Column]:
-    """Composite sort keys: what the headline names comes first, in a different order in each."""
+def _sorts() -> list[tuple[Column, Column]]:
+    """(group, order) of each composite sort key: what must agree and the first letters of the wording come first.
+
+    The first parts of a key are its group: a headline that differs in them is no match by that key, so the
+    window need not slide across, and no group holds more than a part of a material or figure.
+    """
     join = lambda c: F.array_join(F.array_sort(F.col(c)), " ")
-    rest = F.array_join(F.array_sort(F.filter(F.col(words), lambda w: F.length(w) > 4), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), " ")
-    any_word = F.concat_ws(" ", join(names), rest)
-    return [F.concat_ws("|", join(figs), join(mats), any_word), F.concat_ws("|", join(figs), any_word), F.concat_ws("|", any_word, join(figs)), F.concat_ws("|", join(mats), any_word), F.concat_ws("|", join(mats), rest)]
+    longest = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    rest = F.array_join(F.array_sort(F.array_except(F.filter("words", lambda w: F.length(w) > 4), "names"), longest), " ")
+    names, figs, mats = join("names"), join("figs"), join("mats")
+    return [
+        (F.xxhash64(figs, mats), F.concat_ws(" ", names, rest)),
+        (F.xxhash64(figs, F.get(F.col("names"), F.lit(0))), rest),
+        (F.xxhash64(mats, F.get(F.col("names"), F.lit(0)), F.lit("m")), rest),
+        (F.xxhash64(mats, F.substring(rest, 1, 3)), rest),
+    ]
+
+
+def _bits(words: Column) -> Column:
+    """64-bit signature of a set of words."""
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(w), F.lit(64)))))
 
 
-def _ranked(both: DataFrame, key: Column) -> DataFrame:
-    """Adds r: how many articles stand before the row in the order of ``key``."""
-    s = cut(both.select("side", "k", key.alias("key")).repartitionByRange("key", "side", "k").withColumn("p", F.spark_partition_id()))
-    sizes = s.groupBy("p").agg(F.count_if(F.col("side") == 0).alias("n"))
-    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("p", "base")
-    at = F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(W.partitionBy("p").orderBy("key", "side", "k").rowsBetween(W.unboundedPreceding, 0))
-    return s.withColumn("at", at).join(F.broadcast(before), "p").select("side", "k", (F.col("base") + F.col("at")).alias("r"))
+def _signed(df: DataFrame, side: int) -> DataFrame:
+    """Rows with what the sliding window needs: signatures of the wording and of the ends of the names."""
+    ends = F.flatten(F.transform("names", lambda w: F.array(F.substring(w, 1, 4), F.concat(F.lit("~"), F.substring(w, -4, 4)))))
+    return df.select(F.lit(side).alias("side"), "k", "words", "figs", "mats", "names", _bits(F.col("words")).alias("sig"), _bits(ends).alias("who"))
+
+
+def neighbours(both: DataFrame) -> DataFrame:
+    """(ak, lk): listings and the articles at most WINDOW rows away in some order, if their signatures allow a match."""
+    near = []
+    for group, order in _sorts():
+        s = both.select(group.alias("g"), order.alias("o"), "side", "k", "sig", "who")
+        w = W.partitionBy("g").orderBy("o", "side", "k").rowsBetween(-WINDOW, WINDOW)
+        around = F.collect_list(F.when(F.col("side") == 0, F.struct("k", "sig", "who"))).over(w)
+        x = s.withColumn("around", around).filter("side = 1")
+        common = lambda e: F.bit_count(e["sig"].bitwiseAND(F.col("sig"))) * 2 >= F.least(F.bit_count(e["sig"]), F.bit_count("sig"))
+        named = lambda e: (e["who"] == 0) | (F.col("who") == 0) | (e["who"].bitwiseAND(F.col("who")) != 0)
+        near.append(x.select("k", F.explode(F.filter("around", lambda e: common(e) & named(e))).alias("e")).select(F.col("e.k").alias("ak"), F.col("k").alias("lk")))
+    return reduce(DataFrame.unionAll, near).distinct()
 
 
 def _share(a: str, b: str) -> Column:
@@ -108,13 +135,7 @@ def match(articles: DataFrame, listings: DataFrame, a_key: str, a_title: str, a_
     a = describe(titles, "k", "title", names, mats).join(titles.select("k", "source", "link"), "k")
     b = describe(listings, l_key, l_title, names, mats, whole=True).join(listings.select(F.col(l_key).alias("k"), F.col(l_outlet).alias("source"), F.col(l_link).alias("link")).dropDuplicates(["k"]), "k")
     a, b = cut(a), cut(b)
-    both = a.select(F.lit(0).alias("side"), "k", "words", "figs", "mats", "names").unionAll(b.select(F.lit(1), "k", "words", "figs", "mats", "names"))
-    near = []
-    for key in _keys("words", "figs", "mats", "names"):
-        r = cut(_ranked(both, key))
-        mine = r.filter("side = 1").select(F.col("k").alias("lk"), F.explode(F.sequence(F.col("r") - WINDOW + 1, F.col("r") + WINDOW)).alias("r"))
-        near.append(mine.join(r.filter("side = 0").select(F.col("k").alias("ak"), "r"), "r").select("ak", "lk"))
-    pairs = reduce(DataFrame.unionAll, near).distinct()
+    pairs = neighbours(_signed(a, 0).unionAll(_signed(b, 1)))
     x = pairs.join(a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]), F.col("ak") == F.col("a_k"))
     x = x.join(b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]), F.col("lk") == F.col("b_k"))
     figures = (F.size(F.array_except("b_figs", "a_figs")) == 0)
