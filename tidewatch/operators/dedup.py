@@ -52,7 +52,7 @@ def semantic(df: DataFrame, vectors: DataFrame, threshold: float, pos: str = "po
 
     The representative is a patent before others, then has the longest summary, is the latest, comes first.
     """
-    root = components(cosine_pairs(cut(vectors), threshold)).withColumnRenamed("node", pos)
+    root = components(cosine_pairs(cut(vectors), threshold, pos)).withColumnRenamed("node", pos)
     w = W.partitionBy("_g").orderBy(F.desc(F.coalesce(F.col("category") == "patent", F.lit(False))), F.desc(F.length(text("summary"))), F.desc(text("collected_at")), pos)
     grouped = df.join(root, pos, "left").withColumn("_g", F.coalesce("root", pos))
     return grouped.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_g", "root")

@@ -102,7 +102,7 @@ def mmr(df: DataFrame, key: str, relevance: str, vector: str, lam: float, k: int
         return pd.DataFrame({"k": pdf["k"].to_numpy()[out], "rank": range(1, len(out) + 1)})
 
     top = df.select(F.col(key).alias("k"), F.col(relevance).cast("double").alias("r"), F.col(vector).cast("array<double>").alias("v")).orderBy(F.desc("r"), "k").limit(k)
-    return top.groupBy(F.lit(1)).applyInPandas(pick, f"k {kind}, rank int").withColumnRenamed("k", key)
+    return top.groupBy().applyInPandas(pick, f"k {kind}, rank int").withColumnRenamed("k", key)
 
 
 def first_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
