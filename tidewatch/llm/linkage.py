@@ -91,7 +91,7 @@ def _bits(words: Column) -> Column:
 
 def _signed(df: DataFrame, side: int) -> DataFrame:
     """Rows with what the sliding window needs: signatures of the wording and of the ends of the names."""
-    ends = F.flatten(F.transform("names", lambda w: F.array(F.substring(w, 1, 4), F.concat(F.lit("~"), F.substring(w, -4, 4)))))
+    ends = F.flatten(F.transform("names", lambda w: F.array(F.substring(w, 1, 3), F.concat(F.lit("~"), F.substring(w, -3, 3)))))
     return df.select(F.lit(side).alias("side"), "k", "words", "figs", "mats", "names", _bits(F.col("words")).alias("sig"), _bits(ends).alias("who"))
 
 

@@ -26,7 +26,7 @@ ODD = re.compile("[\x7f-\x9f�Ѐ-ԯ─-▟֐-߿]")
 #: A letter that opens a multi-byte sequence when UTF-8 is read as a single-byte encoding, and what may follow it.
 PAIR = re.compile("[\xc2\xc3\xc5\xe2\xe3\xce\xcf¬√][\x80-\xbfŒœŠšŸŽžƒˆ˜–-›€™∞\xc4-\xff]|√[^\x00-\x7f]|‚Ä")
 SUSPECT = re.compile(f"{ODD.pattern}|{PAIR.pattern}|[\xe4-\xe9][\x80-\xbfŒ-ƒˆ˜–-›€™]{{2}}")
-_PLAUSIBLE = re.compile("[\x20-\x7e\xa0-ɏΑ-ω‐-⁄⁴-ₜ₠-₿℀-⋿■-◿　-ヿ㐀-鿿＀-￯]")
+_PLAUSIBLE = re.compile("[ˆ˜\x20-\x7e\xa0-ɏΑ-ω‐-⁄⁴-ₜ₠-₿℀-⋿■-◿　-ヿ㐀-鿿＀-￯]")
 
 
 def _byte(ch: str, encoding: str) -> int | None:

@@ -2,7 +2,7 @@
 
 T-occurrence search.  The features of a text are its runs of five words (characters, for Japanese), of which
 a fixed share, chosen by hash, is kept, and of three words for short texts.  The inverted lists of the features
-are merged where they are short: a pair that occurs in at least ``MERGE_T`` of them is a candidate.  Long lists
+are merged where they are short: a pair that occurs in at least ``MERGE_T`` of them, and in ``MERGE_SHARE`` of the features of the text with fewer, is a candidate.  Long lists
 aren't merged as they stand: each is split by a second feature of its texts, and by a third if it's still long,
 so that only texts that share more than a common phrase meet.  A candidate's whole bag of words is then probed, as DivideSkip does for
 long lists, and the pair is kept where the count of common words reaches T.
@@ -33,7 +33,7 @@ KEEP_ONE_IN = 6
 BOTH = (36, 48)
 #: Lists longer than this aren't merged but split by a second feature of each text.
 LONG = 12
-MERGE_T = 2
+MERGE_T, MERGE_SHARE = 2, 0.25
 _WORD = re.compile("[぀-ヿ㐀-鿿]|[^\\W_぀-ヿ㐀-鿿]+(?:[.,]\\d+)?")
 
 
@@ -51,7 +51,7 @@ class Codes(dict):
         return code
 
 
-_MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _runs(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,23 +61,12 @@ def _runs(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, n
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.full(n, width, np.uint64)
     for i in range(width):
-        h = (h ^ codes[i : n + i]) * _MIX[0]
+        h = (h ^ codes[i : n + i]) * _MIX
         h ^= h >> np.uint64(29)
     inside = doc[:n] == doc[width - 1 :]
     return h[inside], doc[:n][inside]
 
 
-def _partners(f: np.ndarray, mix: np.uint64) -> np.ndarray:
-    """For each feature another one of the same text, chosen by a hash of both, so that like texts choose alike."""
-    if len(f) < 2:
-        return f
-    u = f.view(np.uint32).astype(np.uint64)
-    m = ((u[:, None] * _MIX[0]) ^ (u[None, :] * mix)) * _MIX[2]
-    m ^= m >> np.uint64(31)
-    np.fill_diagonal(m, np.iinfo(np.uint64).max)
-    return f[m.argmin(1)]
-
-
 def _block(texts: list[list[str]], codes: Codes) -> tuple[list[bytes], list[np.ndarray]]:
     """Bag and kept features of each text of a block."""
     size = np.array([len(w) for w in texts], np.int64)
@@ -92,7 +81,7 @@ def _block(texts: list[list[str]], codes: Codes) -> tuple[list[bytes], list[np.n
     keep3 = size[d3] <= BOTH[1]
     keep5 = (size[d5] >= BOTH[0]) & ((h5 >> np.uint64(40)) % np.uint64(KEEP_ONE_IN) == 0)
     tiny = size[doc] < 3  # texts of one or two words are their own features
-    h, d = np.concatenate([h3[keep3], h5[keep5], flat[tiny] * _MIX[0]]), np.concatenate([d3[keep3], d5[keep5], doc[tiny]])
+    h, d = np.concatenate([h3[keep3], h5[keep5], flat[tiny] * _MIX]), np.concatenate([d3[keep3], d5[keep5], doc[tiny]])
     pairs = np.unique(np.stack([d, (h >> np.uint64(32)).astype(np.uint32).astype(np.int64)], 1), axis=0) if len(d) else np.zeros((0, 2), np.int64)
     cut_at = np.searchsorted(pairs[:, 0], np.arange(len(texts) + 1))
     f = pairs[:, 1].astype(np.uint32).view(np.int32)
@@ -100,7 +89,7 @@ def _block(texts: list[list[str]], codes: Codes) -> tuple[list[bytes], list[np.n
 
 
 def features(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
-    """(k, h, bag, f, g1, g2): hash of the text, sorted 16-bit codes of the words, kept features and two partners of each.
+    """(k, h, bag, f): hash of the text, sorted 16-bit codes of the words, and kept features in order of their hashes.
 
     Texts without a summary are left out.
     """
@@ -114,12 +103,11 @@ def features(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
         for b in batches:
             texts = [words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             bags, f = _block(texts, codes)
-            partners = [lists([_partners(x, mix) for x in f]) for mix in _MIX[1:]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(bags, pa.binary()), lists(f), *partners], ["k", "h", "bag", "f", "g1", "g2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(bags, pa.binary()), lists(f)], ["k", "h", "bag", "f"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.filter(F.length(F.trim(summary)) > 0).select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(summary).alias("s"), F.xxhash64(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.col(summary)).alias("h"))
-    return rows.mapInArrow(run, f"k {kind}, h bigint, bag binary, f array<int>, g1 array<int>, g2 array<int>")
+    return rows.mapInArrow(run, f"k {kind}, h bigint, bag binary, f array<int>")
 
 
 def same_text(a: bytes, b: bytes) -> bool:
@@ -152,8 +140,12 @@ def class_pairs(df: DataFrame, key: str, title: str, summary: str) -> tuple[Data
     feats = cut(features(df, key, title, summary))
     groups = feats.groupBy("h").agg(F.min("k").alias("rep"), F.collect_list("k").alias("ks"))
     members = cut(groups.select("rep", F.explode("ks").alias("k")))
-    reps = feats.select("k", "f", "g1", "g2").join(members.filter("rep = k").select("k"), "k", "left_semi")
-    posting = reps.select("k", F.explode(F.arrays_zip("f", "g1", "g2")).alias("x")).select("x.*", "k")
+    reps = feats.select("k", "f").join(members.filter("rep = k").select("k"), "k", "left_semi")
+    # the features beside one in the order of hashes say what else the text holds, at random but alike in like texts
+    after = F.concat(F.slice("f", 2, F.size("f")), F.slice("f", 1, 1))
+    before = F.concat(F.slice("f", -1, 1), F.slice("f", F.lit(1), F.greatest(F.size("f") - 1, F.lit(0))))
+    zipped = F.arrays_zip(F.col("f"), after.alias("g1"), before.alias("g2"))
+    posting = reps.filter(F.size("f") > 0).select(F.struct("k", F.size("f").alias("m")).alias("k"), F.explode(zipped).alias("x")).select("x.*", "k")
     every, level = [], posting
     for by in (["f"], ["f", "g1"], ["f", "g1", "g2"]):
         rest = [c for c in ("g1", "g2") if c not in by]
@@ -167,7 +159,9 @@ def class_pairs(df: DataFrame, key: str, title: str, summary: str) -> tuple[Data
     # texts that meet in a list of several features share as many
     short = reduce(DataFrame.unionAll, every).select("n", "ks", F.posexplode("ks").alias("i", "a"))
     merged = short.select("n", "a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b"))
-    candidates = merged.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= MERGE_T).select("a", "b")
+    merged = merged.select("n", F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.least("a.m", "b.m").alias("m"))
+    enough = F.greatest(F.lit(MERGE_T), F.floor(F.col("m") * MERGE_SHARE))
+    candidates = merged.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("m").alias("m")).filter(F.col("n") >= enough).select("a", "b")
     bags = feats.select("k", "bag")
     near = candidates.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
     kind = df.schema[key].dataType.simpleString()
