@@ -141,11 +141,11 @@ def holds(text: list[str], item: list[str]) -> bool:
             else:
                 ops.append((1, 1))
                 ci -= 1
-        for s in range(len(ops)):
+        for s in (s for s, (_, bad) in enumerate(ops) if not bad):  # a run begins and ends with a word of the item
             length = errors = 0
             for step, bad in ops[s:]:
                 length, errors = length + step, errors + bad
-                if length >= RUN and errors * ONE_IN <= length:
+                if not bad and length >= RUN and errors * ONE_IN <= length:
                     return True
         blocked[max(0, ci) : i + 1, max(0, cj) : j + 1] = 0
 

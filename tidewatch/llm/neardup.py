@@ -33,6 +33,9 @@ KEEP_ONE_IN = 6
 BOTH = (36, 48)
 #: Lists longer than this aren't merged but split by a second feature of each text.
 LONG = 12
+#: A part of a long list that holds this share of it is merged whatever its length: its texts are one family, not
+#: users of one phrase, and the pairs are results.
+FAMILY = 0.3
 MERGE_T, MERGE_SHARE = 2, 0.25
 _WORD = re.compile("[぀-ヿ㐀-鿿]|[^\\W_぀-ヿ㐀-鿿]+(?:[.,]\\d+)?")
 
@@ -146,16 +149,17 @@ def class_pairs(df: DataFrame, key: str, title: str, summary: str) -> tuple[Data
     before = F.concat(F.slice("f", -1, 1), F.slice("f", F.lit(1), F.greatest(F.size("f") - 1, F.lit(0))))
     zipped = F.arrays_zip(F.col("f"), after.alias("g1"), before.alias("g2"))
     posting = reps.filter(F.size("f") > 0).select(F.struct("k", F.size("f").alias("m")).alias("k"), F.explode(zipped).alias("x")).select("x.*", "k")
-    every, level = [], posting
+    every, level = [], posting.withColumn("of", F.lit(2**31 - 1))
     for by in (["f"], ["f", "g1"], ["f", "g1", "g2"]):
         rest = [c for c in ("g1", "g2") if c not in by]
-        lists = level.groupBy(*by).agg(F.collect_list(F.struct("k", *rest)).alias("l")).filter(F.size("l") > 1)
+        lists = level.groupBy(*by).agg(F.collect_list(F.struct("k", *rest)).alias("l"), F.max("of").alias("of")).filter(F.size("l") > 1)
         if not rest:
             every.append(lists.select(F.lit(len(by)).alias("n"), F.sort_array("l.k").alias("ks")))
             break
         lists = cut(lists)
-        every.append(lists.filter(F.size("l") <= LONG).select(F.lit(len(by)).alias("n"), F.sort_array("l.k").alias("ks")))
-        level = lists.filter(F.size("l") > LONG).select(*by, F.explode("l").alias("x")).select(*by, "x.*")
+        merge = (F.size("l") <= LONG) | (F.size("l") >= FAMILY * F.col("of"))
+        every.append(lists.filter(merge).select(F.lit(len(by)).alias("n"), F.sort_array("l.k").alias("ks")))
+        level = lists.filter(~merge).select(*by, F.size("l").alias("of"), F.explode("l").alias("x")).select(*by, "of", "x.*")
     # texts that meet in a list of several features share as many
     short = reduce(DataFrame.unionAll, every).select("n", "ks", F.posexplode("ks").alias("i", "a"))
     merged = short.select("n", "a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b"))
