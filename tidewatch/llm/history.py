@@ -52,10 +52,10 @@ def described(df: DataFrame, key: str, title: str, link: str | None = None) -> D
     """(k, u, th, t, names): canonical link and bare title in small letters, with hashes of both; null where there is none."""
     u = F.xxhash64(canonical_url(F.col(link))) if link else F.lit(None).cast("bigint")
     has = canonical_url(F.col(link)).isNotNull() if link else F.lit(False)
-    raw = title_words(F.col("b"))
+    raw = F.col("raw")
     loud = F.size(F.filter(raw, lambda w: w.rlike(r"^\p{Lu}"))) > F.size(raw) * 0.6
     names = F.when(loud, F.array().cast("array<string>")).otherwise(F.transform(F.filter(raw, lambda w: w.rlike(_SHAPE)), F.lower))
-    bare = df.select(F.col(key).alias("k"), F.when(has, u).alias("u"), F.when(F.length(F.trim(title)) > 0, bare_title(F.col(title))).alias("b"))
+    bare = df.select(F.col(key).alias("k"), F.when(has, u).alias("u"), title_words(F.when(F.length(F.trim(title)) > 0, bare_title(F.col(title)))).alias("raw"))
     rows = bare.select("k", "u", F.nullif(F.array_join(F.transform(raw, F.lower), " "), F.lit("")).alias("t"), names.alias("names"))
     return rows.select("k", "u", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("th"), "t", "names")
 

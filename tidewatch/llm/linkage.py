@@ -34,9 +34,9 @@ def learn_names(titles: DataFrame, title: str) -> tuple[list[str], list[str]]:
     A name is a word that titles write with a capital where it isn't the first word, unless it mostly follows
     another such word, as what a firm does follows what it's called.
     """
-    w = title_words(F.col(title))
+    w = F.col("all")
     pairs = F.arrays_zip(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))).alias("w"), F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))).alias("before"))
-    quiet = titles.filter(F.col(title) != F.upper(title))
+    quiet = titles.filter(F.col(title) != F.upper(title)).select(title_words(F.col(title)).alias("all"))
     inner = quiet.select(F.explode(pairs).alias("x")).select("x.w", "x.before").filter(F.col("w").isNotNull())
     up, down = F.col("w").rlike(_CAPITAL), F.col("w").rlike(r"^\p{Ll}+$")
     n = inner.filter(F.length("w") >= 6).groupBy(F.lower("w").alias("w")).agg(F.count_if(up).alias("up"), F.count_if(down).alias("down"), F.count_if(up & F.col("before").rlike(_CAPITAL)).alias("after"))
@@ -53,9 +53,9 @@ def describe(df: DataFrame, key: str, title: str, names: list[str], mats: list[s
     ``whole``: nothing is taken off the end of the headline.
     """
     flat = F.trim(F.regexp_replace(F.col(title), r"\s+", " "))
-    b = df.filter(F.length(F.trim(title)) > 0).select(F.col(key).alias("k"), (flat if whole else bare_title(F.col(title))).alias("b"))
-    raw = title_words(F.col("b"))
-    low = F.array_distinct(F.transform(raw, F.lower))
+    b = df.filter(F.length(F.trim(title)) > 0).select(F.col(key).alias("k"), title_words(flat if whole else bare_title(F.col(title))).alias("raw"))
+    b = b.select("k", "raw", F.array_distinct(F.transform("raw", F.lower)).alias("low"))
+    raw, low = F.col("raw"), F.col("low")
     none = F.array().cast("array<string>")
     loud = F.size(F.filter(raw, lambda w: w.rlike(r"^\p{Lu}"))) > 0.6 * F.size(raw)
     figs = F.array_distinct(F.filter(raw, lambda w: w.rlike(r"^\d+(?:[.,]\d+)*$")))
@@ -129,7 +129,8 @@ def match(articles: DataFrame, listings: DataFrame, a_key: str, a_title: str, a_
     either table are ignored, whatever their names.
     """
     bare = articles.filter(F.length(F.trim(a_title)) > 0).select(F.col(a_key).alias("pos"), bare_title(F.col(a_title)).alias("title"), F.col(a_source).alias("source"), F.col(a_link).alias("link"))
-    titles = bare.groupBy(F.lower("title").alias("low")).agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("k"), F.min_by("source", "pos").alias("source"), F.min_by("link", "pos").alias("link"))
+    bare = bare.select("*", F.xxhash64(F.lower("title")).alias("th"))
+    titles = bare.groupBy("th").agg(F.min(F.struct("pos", "title", "source", "link")).alias("x")).select("th", F.col("x.pos").alias("k"), "x.title", "x.source", "x.link")
     titles = cut(titles)
     names, mats = learn_names(titles, "title")
     a = describe(titles, "k", "title", names, mats).join(titles.select("k", "source", "link"), "k")
@@ -151,10 +152,13 @@ def match(articles: DataFrame, listings: DataFrame, a_key: str, a_title: str, a_
     named = a.select(F.col("k").alias("ak"), F.array_sort("figs").alias("f"), F.array_sort("mats").alias("m"))
     kin = good.join(best.select("lk", F.col("ak").alias("top"), F.col("confidence").alias("most")), "lk").filter(F.col("confidence") >= F.col("most") - 0.2)
     kin = kin.join(named, "ak").join(named.toDF("top", "tf", "tm"), "top").filter((F.col("f") == F.col("tf")) & (F.col("m") == F.col("tm"))).select("ak", "lk", "confidence")
-    copies = bare.select("pos", F.lower("title").alias("low")).join(titles.select("low", F.col("k").alias("ak")), "low").select("pos", "ak")
+    # hashes of title and page of every record, made once
+    base = articles.select(F.col(a_key).alias("pos"), F.when(F.length(F.trim(a_title)) > 0, F.xxhash64(F.lower(bare_title(F.col(a_title))))).alias("th"), canonical_url(F.col(a_link)).alias("u"))
+    base = cut(base.select("pos", "th", F.when(F.col("u").isNotNull(), F.xxhash64("u")).alias("u")))
+    copies = base.select("pos", "th").join(titles.select("th", F.col("k").alias("ak")), "th").select("pos", "ak")
     direct = cut(kin.join(copies, "ak").select("pos", "lk", "confidence"))
     # and the records that lead to the same page under another title
-    pages = articles.select(F.col(a_key).alias("pos"), canonical_url(F.col(a_link)).alias("u")).filter("u is not null")
+    pages = base.select("pos", "u").filter("u is not null")
     same = direct.join(pages, "pos").select("u", "lk", "confidence").distinct().join(pages, "u").select("pos", "lk", "confidence")
     return direct.unionAll(same).groupBy(F.col("pos").alias(a_key), F.col("lk").alias(l_key)).agg(F.max("confidence").alias("confidence"))
 
