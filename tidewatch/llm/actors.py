@@ -262,13 +262,23 @@ def links(df: DataFrame, key: str, name: str) -> DataFrame:
                     out += [(f"{kind}{h}", k, p, " ".join(rest)) for h in dict.fromkeys(_heads(p))]
             yield pd.DataFrame(out, columns=["shard", "k", "p", "rest"])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(k, p, tuple(rest.split())) for k, p, rest in zip(pdf["k"], pdf["p"], pdf["rest"])]
-        return pd.DataFrame(sorted(neighbours(pdf["shard"].iloc[0][0], rows)), columns=["a", "b"])
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shards come one after the other; each is joined when the next one begins."""
+        held, rows = None, []
+        for b in batches:
+            out: set[tuple[int, int]] = set()
+            for s, k, p, rest in zip(b["shard"], b["k"], b["p"], b["rest"]):
+                if s != held:
+                    out |= neighbours(held[0], rows) if held else set()
+                    held, rows = s, []
+                rows.append((k, p, tuple(rest.split())))
+            yield pd.DataFrame(sorted(out), columns=["a", "b"])
+        if held:
+            yield pd.DataFrame(sorted(neighbours(held[0], rows)), columns=["a", "b"])
 
     kind = df.schema[key].dataType.simpleString()
     shards = reps.mapInPandas(shard, f"shard string, k {kind}, p string, rest string")
-    near = shards.groupBy("shard").applyInPandas(join, f"a {kind}, b {kind}").distinct()
+    near = shards.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "k").mapInPandas(join, f"a {kind}, b {kind}").distinct()
     same = rows.join(reps.select("n", F.col("k").alias("rep")), "n").filter("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
     return near.unionAll(same)
 
