@@ -204,6 +204,29 @@ def test_large_family_of_variants_stays_linked(spark):
     assert n >= 0.9 * 120 * 119 / 2, n
 
 
+def test_families_of_hundreds_at_the_five_sixths_edge_are_whole(spark):
+    rng = random.Random(5)
+    texts = []
+    for f in range(2):
+        base = [f"t{f}.{i}" for i in range(80)]
+        texts += [" ".join(w if rng.random() > 1 / 11 else f"x{rng.randrange(1000)}" for w in base) for _ in range(200)]
+    for f in range(100):  # families of two, 13 of 80 words other
+        base = [f"p{f}.{i}" for i in range(80)]
+        other = set(rng.sample(range(80), 13))
+        texts += [" ".join(base), " ".join(f"y{rng.randrange(1000)}" if i in other else w for i, w in enumerate(base))]
+    df = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "pos long, title string, summary string")
+    got = {tuple(r) for r in neardup.found(df).collect()}
+    bags = [Counter(neardup.words("t", t)) for t in texts]
+
+    def alike(i, j):
+        x, y = bags[i], bags[j]
+        return sum((x & y).values()) >= neardup.SHARE * max(sum(x.values()), sum(y.values()))
+
+    want = {(i, j) for part in (range(200), range(200, 400)) for i, j in itertools.combinations(part, 2) if alike(i, j)}
+    want |= {(i, i + 1) for i in range(400, 600, 2) if alike(i, i + 1)}
+    assert len(want) > 20_000 and want == got, (len(want), len(want - got), len(got - want))
+
+
 # 8 ---------------------------------------------------------------------------------------------------------
 
 

@@ -1,11 +1,15 @@
 """Problem 7: records that are the same text but for small edits.
 
-T-occurrence search.  The features of a text are its runs of five words (characters, for Japanese), of which
-a fixed share, chosen by hash, is kept, and of three words for short texts.  The inverted lists of the features
-are merged where they are short: a pair that occurs in at least ``MERGE_T`` of them, and in ``MERGE_SHARE`` of the features of the text with fewer, is a candidate.  Long lists
-aren't merged as they stand: each is split by a second feature of its texts, and by a third if it's still long,
-so that only texts that share more than a common phrase meet.  A candidate's whole bag of words is then probed, as DivideSkip does for
-long lists, and the pair is kept where the count of common words reaches T.
+T-occurrence search, without loss for edits of words.  The features of a text of n words are its runs of two words
+(characters, for Japanese), or its words where it is short.  A word taken out or put in its place kills at most
+two runs, so texts that share ``SHARE`` of the words of the longer one share at least T = features - 2 (1 - SHARE) n
+of the features, on either side.  With all features in one order, rarest first, such texts have a feature in common
+among the first (features - T + 1) of each: only those are posted.  The order comes from a sample; it changes what
+the search costs, never what it finds.
+
+Lists of a feature are merged whole, however long: pairs within are cut by length and by a 256-bit parity
+signature of the bags of words, whose differing bits are at most the words not shared.  The whole bags of what is
+left are then probed, and a pair is kept where the count of common words reaches T.
 
 Exact copies are one class from the start; classes are paired and their members listed only at the end.
 """
@@ -15,10 +19,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +31,14 @@ from tidewatch.runtime import cut
 
 #: Least share of the words of the longer text that both texts have, between "about five sixths" and "three quarters".
 SHARE = 0.79
-#: Of the runs of five words, those of one residue class in so many are kept.
-KEEP_ONE_IN = 6
-#: Texts of up to BOTH[1] words have all runs of three words as features, texts from BOTH[0] words runs of five.
-BOTH = (36, 48)
-#: Lists longer than this aren't merged but split by a second feature of each text.
-LONG = 12
-#: A part of a long list that holds this share of it is merged whatever its length: its texts are one family, not
-#: users of one phrase, and the pairs are results.
-FAMILY = 0.3
-MERGE_T, MERGE_SHARE = 2, 0.25
+#: Texts of up to SHORT[1] words have their words as features, texts from SHORT[0] (at most SHARE of it) words runs of two.
+SHORT = (19, 24)
+#: Texts the order of features is taken from, at most, and the counters it is kept in.
+SAMPLE, COUNTERS = 10_000, 1 << 18
+#: Words of 64 bits of a signature.
+SIGN = 4
+#: Lists of up to so many texts are merged many at a time.
+MANY = 24
 _WORD = re.compile("[぀-ヿ㐀-鿿]|[^\\W_぀-ヿ㐀-鿿]+(?:[.,]\\d+)?")
 
 
@@ -70,29 +72,44 @@ def _runs(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, n
     return h[inside], doc[:n][inside]
 
 
-def _block(texts: list[list[str]], codes: Codes) -> tuple[list[bytes], list[np.ndarray]]:
-    """Bag and kept features of each text of a block."""
+def _features(texts: list[list[str]], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, codes of all words and their texts; then texts and hashes of their features, each once and sorted."""
     size = np.array([len(w) for w in texts], np.int64)
     flat = np.fromiter((c for w in texts for c in map(codes.__getitem__, w)), np.uint64, int(size.sum()))
     doc = np.repeat(np.arange(len(texts)), size)
+    h1, d1 = _runs(flat, doc, 1)
+    h2, d2 = _runs(flat, doc, 2)
+    keep1, keep2 = size[d1] <= SHORT[1], size[d2] >= SHORT[0]
+    kind = np.concatenate([np.zeros(keep1.sum(), np.int64), np.ones(keep2.sum(), np.int64)])
+    h, d = np.concatenate([h1[keep1], h2[keep2]]), np.concatenate([d1[keep1], d2[keep2]])
+    if len(d):
+        x = np.unique(np.stack([d * 2 + kind, (h >> np.uint64(32)).astype(np.int64)], 1), axis=0)
+    else:
+        x = np.zeros((0, 2), np.int64)
+    return size, flat, doc, x[:, 0], x[:, 1]
+
+
+def _block(texts: list[list[str]], codes: Codes, counts: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, list[np.ndarray]]:
+    """Size, bag, signature and posted features of each text of a block."""
+    size, flat, doc, dk, h = _features(texts, codes)
     short = (flat & np.uint64(0xFFFF)).astype(np.int64)
-    order = np.argsort(doc * 65536 + short, kind="stable")
+    bags = short[np.argsort(doc * 65536 + short, kind="stable")].astype(np.uint16)
     edge = np.concatenate([[0], np.cumsum(size)])
-    bags = short[order].astype(np.uint16)
-    h3, d3 = _runs(flat, doc, 3)
-    h5, d5 = _runs(flat, doc, 5)
-    keep3 = size[d3] <= BOTH[1]
-    keep5 = (size[d5] >= BOTH[0]) & ((h5 >> np.uint64(40)) % np.uint64(KEEP_ONE_IN) == 0)
-    tiny = size[doc] < 3  # texts of one or two words are their own features
-    h, d = np.concatenate([h3[keep3], h5[keep5], flat[tiny] * _MIX]), np.concatenate([d3[keep3], d5[keep5], doc[tiny]])
-    pairs = np.unique(np.stack([d, (h >> np.uint64(32)).astype(np.uint32).astype(np.int64)], 1), axis=0) if len(d) else np.zeros((0, 2), np.int64)
-    cut_at = np.searchsorted(pairs[:, 0], np.arange(len(texts) + 1))
-    f = pairs[:, 1].astype(np.uint32).view(np.int32)
-    return [bags[edge[i] : edge[i + 1]].tobytes() for i in range(len(texts))], [f[cut_at[i] : cut_at[i + 1]] for i in range(len(texts))]
+    bits = 64 * SIGN
+    odd = (np.bincount(doc * bits + short % bits, minlength=len(texts) * bits) & 1).astype(np.uint8).reshape(len(texts), bits)
+    sig = np.packbits(odd, axis=1).view(np.int64).reshape(len(texts), SIGN)
+    order = np.lexsort((h, counts[h % COUNTERS], dk))
+    dk, h = dk[order], h[order]
+    n, width = size[dk >> 1], 1 + (dk & 1)
+    first = np.arange(len(dk)) - np.searchsorted(dk, dk)
+    posted = first <= np.floor(width * (1 - SHARE) * n + 1e-9)
+    d, f = dk[posted] >> 1, h[posted].astype(np.uint32).view(np.int32)
+    at = np.searchsorted(d, np.arange(len(texts) + 1))
+    return size, [bags[edge[i] : edge[i + 1]].tobytes() for i in range(len(texts))], sig, [f[at[i] : at[i + 1]] for i in range(len(texts))]
 
 
 def features(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
-    """(k, h, bag, f): hash of the text, sorted 16-bit codes of the words, and kept features in order of their hashes.
+    """(k, h, n, bag, s0.., f): hash of the text, count, sorted 16-bit codes and signature of its words, and posted features.
 
     Texts without a summary are left out.
     """
@@ -101,16 +118,89 @@ def features(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
         edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, total = Codes(), np.zeros(COUNTERS, np.int64)
         for b in batches:
-            texts = [words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            bags, f = _block(texts, codes)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(bags, pa.binary()), lists(f)], ["k", "h", "bag", "f"])
+            h = _features([words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], codes)[4]
+            total += np.bincount(h % COUNTERS, minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())], ["c"])
 
+    signs = [f"s{i}" for i in range(SIGN)]
     kind = df.schema[key].dataType.simpleString()
     rows = df.filter(F.length(F.trim(summary)) > 0).select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(summary).alias("s"), F.xxhash64(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.col(summary)).alias("h"))
-    return rows.mapInArrow(run, f"k {kind}, h bigint, bag binary, f array<int>")
+    sums = [np.frombuffer(r["c"], np.uint16).astype(np.int64) for r in rows.limit(SAMPLE).mapInArrow(count, "c binary").collect()]
+    order = np.minimum(sum(sums, np.zeros(COUNTERS, np.int64)), 65535).astype(np.uint16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for b in batches:
+            texts = [words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            size, bags, sig, f = _block(texts, codes, order)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(size.astype(np.int32)), pa.array(bags, pa.binary()), *(pa.array(sig[:, i].copy()) for i in range(SIGN)), lists(f)], ["k", "h", "n", "bag", *signs, "f"])
+
+    return rows.mapInArrow(run, f"k {kind}, h bigint, n int, bag binary, {', '.join(f'{c} bigint' for c in signs)}, f array<int>")
+
+
+def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether the signatures of rows i and of rows j, which are no shorter, allow SHARE of common words."""
+    most = n[i] + (1 - 2 * SHARE) * n[j] + 1e-6
+    return (n[i] + 1e-6 >= SHARE * n[j]) & (np.bitwise_count(s[i] ^ s[j]).sum(1) <= most)
+
+
+def merge(f: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one list whose texts may be alike; rows are in order of list and size."""
+    start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(f))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    size = end - start
+    last = np.repeat(end, size)
+    i = np.flatnonzero(np.repeat(size <= MANY, size))
+    d = 1
+    while len(i := i[(i + d < last[i])]):
+        ok = i[_alike(i, i + d, n, s)]
+        left.append(ok)
+        right.append(ok + d)
+        d += 1
+    for a, b in zip(start[size > MANY], end[size > MANY]):
+        for x in range(a, b, 256):
+            y = min(x + 256, b)
+            # rows of one list up to the size that the longest of the block allows
+            z = x + int(np.searchsorted(n[x:b], n[y - 1] / SHARE + 1e-6, "right"))
+            most = n[x:y, None] + (1 - 2 * SHARE) * n[None, x:z] + 1e-6
+            apart = sum(np.bitwise_count(s[x:y, c, None] ^ s[None, x:z, c]).astype(np.int16) for c in range(SIGN))
+            p, q = np.nonzero(apart <= most)
+            p, q = p[p < q] + x, q[p < q] + x
+            ok = _alike(p, q, n, s)
+            left.append(p[ok])
+            right.append(q[ok])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of the lists of a partition in order of f and n; a list is merged when the next one has begun."""
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        f, n = t.column("f").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+        s = np.stack([t.column(f"s{i}").to_numpy() for i in range(SIGN)], 1).view(np.uint64)
+        i, j = merge(f, n, s)
+        k = t.column("k").combine_chunks()
+        a, b = k.take(pa.array(i)), k.take(pa.array(j))
+        swap = pc.less(b, a)
+        x = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b)}).group_by(["a", "b"]).aggregate([]).combine_chunks()
+        return pa.RecordBatch.from_arrays([x.column("a").combine_chunks(), x.column("b").combine_chunks()], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        f = b.column(b.schema.get_field_index("f")).to_numpy()
+        if rows > 200_000 and b.num_rows and f[0] != f[-1]:
+            cut_at = int(np.searchsorted(f, f[-1]))
+            yield pairs_of(pa.Table.from_batches([*held[:-1], b.slice(0, cut_at)]))
+            held, rows = [b.slice(cut_at)], b.num_rows - cut_at
+    if rows:
+        yield pairs_of(pa.Table.from_batches(held))
 
 
 def same_text(a: bytes, b: bytes) -> bool:
@@ -143,32 +233,14 @@ def class_pairs(df: DataFrame, key: str, title: str, summary: str) -> tuple[Data
     feats = cut(features(df, key, title, summary))
     groups = feats.groupBy("h").agg(F.min("k").alias("rep"), F.collect_list("k").alias("ks"))
     members = cut(groups.select("rep", F.explode("ks").alias("k")))
-    reps = feats.select("k", "f").join(members.filter("rep = k").select("k"), "k", "left_semi")
-    # the features beside one in the order of hashes say what else the text holds, at random but alike in like texts
-    after = F.concat(F.slice("f", 2, F.size("f")), F.slice("f", 1, 1))
-    before = F.concat(F.slice("f", -1, 1), F.slice("f", F.lit(1), F.greatest(F.size("f") - 1, F.lit(0))))
-    zipped = F.arrays_zip(F.col("f"), after.alias("g1"), before.alias("g2"))
-    posting = reps.filter(F.size("f") > 0).select(F.struct("k", F.size("f").alias("m")).alias("k"), F.explode(zipped).alias("x")).select("x.*", "k")
-    every, level = [], posting.withColumn("of", F.lit(2**31 - 1))
-    for by in (["f"], ["f", "g1"], ["f", "g1", "g2"]):
-        rest = [c for c in ("g1", "g2") if c not in by]
-        lists = level.groupBy(*by).agg(F.collect_list(F.struct("k", *rest)).alias("l"), F.max("of").alias("of")).filter(F.size("l") > 1)
-        if not rest:
-            every.append(lists.select(F.lit(len(by)).alias("n"), F.sort_array("l.k").alias("ks")))
-            break
-        lists = cut(lists)
-        merge = (F.size("l") <= LONG) | (F.size("l") >= FAMILY * F.col("of"))
-        every.append(lists.filter(merge).select(F.lit(len(by)).alias("n"), F.sort_array("l.k").alias("ks")))
-        level = lists.filter(~merge).select(*by, F.size("l").alias("of"), F.explode("l").alias("x")).select(*by, "of", "x.*")
-    # texts that meet in a list of several features share as many
-    short = reduce(DataFrame.unionAll, every).select("n", "ks", F.posexplode("ks").alias("i", "a"))
-    merged = short.select("n", "a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b"))
-    merged = merged.select("n", F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.least("a.m", "b.m").alias("m"))
-    enough = F.greatest(F.lit(MERGE_T), F.floor(F.col("m") * MERGE_SHARE))
-    candidates = merged.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("m").alias("m")).filter(F.col("n") >= enough).select("a", "b")
+    signs = [f"s{i}" for i in range(SIGN)]
+    reps = feats.select("k", "n", *signs, "f").join(members.filter("rep = k").select("k"), "k", "left_semi")
+    posting = reps.select(F.explode("f").alias("f"), "k", "n", *signs)
+    kind = df.schema[key].dataType.simpleString()
+    lists = posting.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f").sortWithinPartitions("f", "n")
+    candidates = lists.mapInArrow(_join, f"a {kind}, b {kind}").distinct()
     bags = feats.select("k", "bag")
     near = candidates.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
-    kind = df.schema[key].dataType.simpleString()
     return near.mapInArrow(_verify, f"a {kind}, b {kind}"), members
 
 
