@@ -63,6 +63,14 @@ def test_segment_index_finds_all_pairs_of_bounded_edit_distance(spark):
     assert got == want
 
 
+def test_batch_finds_longer_and_shorter_titles_of_the_index(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta"
+    batch = [f"new {base}", f"{base} now here", "beta gamma delta epsilon zeta eta theta", "gamma delta epsilon zeta eta theta", base.replace("delta", "other"), f"one two three {base}"]
+    df = lambda texts, k: history.prepare(history.described(spark.createDataFrame([(k + i, t) for i, t in enumerate(texts)], "k long, t string"), "k", "t"))
+    stored, new = df([base], 0), df(batch, 10)
+    assert {tuple(r) for r in history.probe(new, history.index_entries(stored), stored).collect()} == {(i, 0) for i in range(10, 15)}
+
+
 @pytest.mark.parametrize("a, b, same", [("https://www.x.test/a/?b=1&utm_medium=q", "http://X.test/a?b=1#c", True), ("http://x.test/a?p=1", "http://x.test/a?p=2", False), ("http://x.test/A", "http://x.test/a", False)])
 def test_canonical_url(spark, a, b, same):
     r = spark.createDataFrame([(a, b)], "a string, b string").select(canonical_url(F.col("a")), canonical_url(F.col("b"))).first()

@@ -80,25 +80,26 @@ def index_entries(titles: DataFrame) -> DataFrame:
     return seg.select(F.xxhash64("key", "n", "s.i", F.substring(F.col("letters"), F.col("s.at") + 1, F.col("s.len"))).alias("h"), "rep")
 
 
-def probes(titles: DataFrame) -> DataFrame:
-    """(h, a): the substrings of each title that can line up with a segment of an equally long or longer one.
+def probes(titles: DataFrame, within: bool = False) -> DataFrame:
+    """(h, a): the substrings of each title that can line up with a segment of one up to EDITS words longer or shorter.
 
     Segment i has at most i edits before it and EDITS - i after it, which bounds the places it can have.
+    ``within``: the index is that of these titles, so longer ones are enough: each pair is met from its shorter side.
     """
-    p = titles.select("rep", "n", "key", "letters", F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("d"))
-    p = p.select("*", (F.col("n") + F.col("d")).alias("m")).select("*", F.explode(_segments(F.col("m"))).alias("s"))
+    p = titles.select("rep", "n", "key", "letters", F.explode(F.sequence(F.lit(0 if within else -EDITS), F.lit(EDITS))).alias("d"))
+    p = p.select("*", (F.col("n") + F.col("d")).alias("m")).filter("m > 0").select("*", F.explode(_segments(F.col("m"))).alias("s"))
     low = F.greatest(F.lit(0), F.col("s.at") + F.greatest(-F.col("s.i"), -F.col("d") - (EDITS - F.col("s.i"))))
     high = F.least(F.col("n") - F.col("s.len"), F.col("s.at") + F.least(F.col("s.i"), -F.col("d") + (EDITS - F.col("s.i"))))
     p = p.filter(low <= high).select("*", F.explode(F.sequence(low, high)).alias("at"))
     return p.select(F.xxhash64("key", "m", "s.i", F.substring(F.col("letters"), F.col("at") + 1, F.col("s.len"))).alias("h"), F.col("rep").alias("a"))
 
 
-def probe(titles: DataFrame, index: DataFrame, stored: DataFrame) -> DataFrame:
+def probe(titles: DataFrame, index: DataFrame, stored: DataFrame, within: bool = False) -> DataFrame:
     """(a, b): pairs of a title and one of the index within EDITS word edits that name the same things.
 
-    ``stored`` holds the titles behind the index.
+    ``stored`` holds the titles behind the index; ``within``: they are the titles themselves.
     """
-    pairs = probes(titles).join(index.toDF("h", "b"), "h").filter("a <> b").select("a", "b").distinct()
+    pairs = probes(titles, within).join(index.toDF("h", "b"), "h").filter("a <> b").select("a", "b").distinct()
     x = pairs.join(titles.select(F.col("rep").alias("a"), F.col("letters").alias("la"), F.col("names").alias("na"), F.col("words").alias("wa")), "a")
     x = x.join(stored.select(F.col("rep").alias("b"), F.col("letters").alias("lb"), F.col("names").alias("nb"), F.col("words").alias("wb")), "b")
     same = (F.levenshtein("la", "lb", EDITS) >= 0) & (F.size(F.array_except("na", "wb")) == 0) & (F.size(F.array_except("nb", "wa")) == 0)
@@ -119,7 +120,7 @@ def pieces(df: DataFrame, key: str, title: str, link: str) -> DataFrame:
     """
     rows = cut(described(df, key, title, link))
     titles = cut(prepare(rows))
-    near = probe(titles, index_entries(titles), titles)
+    near = probe(titles, index_entries(titles), titles, within=True)
     by_title = rows.select("k", "th").join(titles.select("th", "rep"), "th").filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     links = rows.filter("u is not null").groupBy("u").agg(F.min("k").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     by_link = rows.select("k", "u").join(links, "u").filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
