@@ -162,6 +162,15 @@ def test_actors(spark):
     assert actors.found(df.limit(0)).count() == 0
 
 
+def test_actors_join_meets_every_pair_within_the_bound(spark):
+    words = ["Datugranoen", "Dtaugranon", "Kabel", "Kanel", "Morvit", "Movrit", "Xolberstein", "Yolbersteim"]
+    df = spark.createDataFrame([(i, f"{w} Precision Tools SAS") for i, w in enumerate(words)], "actor_id long, name string")
+    low = [w.lower() for w in words]
+    want = {(i, j) for i, j in itertools.combinations(range(len(low)), 2) if actors.edits(low[i], low[j]) <= min(actors.allowed(low[i]), actors.allowed(low[j]))}
+    assert want == {(0, 1), (2, 3), (4, 5), (6, 7)}
+    assert {tuple(r) for r in actors.found(df).collect()} == want
+
+
 # 6 ---------------------------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,10 @@
 """Problem 5: variant spellings of the names of firms, universities, institutes and persons.
 
 Trie join.  Every name is brought to a few readings: its kind, its proper word and its other words, in each
-order that the kind allows.  The readings are sharded by kind and first letters, each shard builds a trie
-of its proper words, and a Levenshtein automaton walked down the trie enumerates the neighbours within
-``BOUND`` edits.  A transposition of neighbouring letters is one edit.  The first letters may be mistyped too,
-so a word is queried in the shards of its neighbouring heads; pairs are then checked on their other words:
+order that the kind allows.  Distinct proper words are joined on what is left of them when up to as many letters
+are taken out as they may have edits: words within the bound share such a rest, wherever the edits are.  Each word
+has a shard with the readings of all its neighbours; there a trie of the words is built and a Levenshtein automaton
+walked down it.  A transposition of neighbouring letters is one edit.  Pairs are then checked on their other words:
 abbreviations, initials, nicknames, legal forms and order.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.graph import components
+from tidewatch.runtime import cut
 
 BOUND = 2
 #: Legal forms; words of institutes and universities; words that say nothing.
@@ -203,15 +204,20 @@ def common_words(names: DataFrame, name: str, share: float = 0.002, least: int =
     return frozenset(r["w"] for r in words.filter((F.col("count") > max(least, share * n)) & (F.col("w") != "")).collect())
 
 
-def _heads(word: str) -> list[str]:
-    """Shards of a word: an edit leaves its first or its last letters as they are."""
-    return [f"^{word[:3]}", f"{word[-3:]}$"]
+def _rests(word: str) -> set[str]:
+    """The word with up to ``allowed`` letters taken out."""
+    out = last = {word}
+    for _ in range(allowed(word)):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
 
-def neighbours(kind: str, rows: list[tuple[int, str, tuple[str, ...]]]) -> set[tuple[int, int]]:
+def neighbours(kind: str, rows: list[tuple[int, str, tuple[str, ...]]], centre: str | None = None) -> set[tuple[int, int]]:
     """Links within one shard of (key, proper word, other words).
 
-    A vague reading is linked to full ones only where all that it fits agree among themselves.
+    A vague reading is linked to full ones only where all that it fits agree among themselves.  ``centre``: the
+    word whose neighbours the shard holds; only its own readings are linked, as those of others aren't whole here.
     """
     trie, at = Trie(), defaultdict(lambda: defaultdict(list))
     for k, p, rest in rows:
@@ -225,19 +231,19 @@ def neighbours(kind: str, rows: list[tuple[int, str, tuple[str, ...]]]) -> set[t
         k = min(a + b)  # readings are linked to their least key, not all to all
         out.update((k, m) for m in a + b if m != k)
 
-    for p in at:
+    for p in at if centre is None else [centre]:
         for q in trie.near(p, allowed(p)):
-            if q > p or allowed(q) < edits(p, q):
+            if (q > p and centre is None) or allowed(q) < edits(p, q):
                 continue
             for a, mine in at[p].items():
                 for b, theirs in at[q].items():
-                    if (p, a) >= (q, b) and agree(kind, p, a, q, b):
+                    if ((p, a) >= (q, b) or (centre is not None and p != q)) and agree(kind, p, a, q, b):
                         va, vb = vague(kind, a), vague(kind, b)
                         if va == vb:
                             link(mine, theirs)
                         elif va:
                             fits[p, a].append((q, b))
-                        else:
+                        elif centre is None or q == centre:
                             fits[q, b].append((p, a))
     for (p, a), full in fits.items():
         if all(agree(kind, *full[0], *other) for other in full[1:]):
@@ -259,8 +265,16 @@ def links(df: DataFrame, key: str, name: str) -> DataFrame:
             for n, k in zip(b["n"], b["k"]):
                 kind, readings = read(n, common)
                 for p, rest in readings:
-                    out += [(f"{kind}{h}", k, p, " ".join(rest)) for h in dict.fromkeys(_heads(p))]
-            yield pd.DataFrame(out, columns=["shard", "k", "p", "rest"])
+                    out.append((kind + p, k, p, " ".join(rest)))
+            yield pd.DataFrame(out, columns=["w", "k", "p", "rest"])
+
+    def rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(w[0] + x, w) for w in b["w"] for x in _rests(w[1:])], columns=["h", "w"])
+
+    def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[edits(x[1:], y[1:]) <= min(allowed(x[1:]), allowed(y[1:])) for x, y in zip(b["shard"], b["w"])]]
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Shards come one after the other; each is joined when the next one begins."""
@@ -269,15 +283,18 @@ def links(df: DataFrame, key: str, name: str) -> DataFrame:
             out: set[tuple[int, int]] = set()
             for s, k, p, rest in zip(b["shard"], b["k"], b["p"], b["rest"]):
                 if s != held:
-                    out |= neighbours(held[0], rows) if held else set()
+                    out |= neighbours(held[0], rows, held[1:]) if held else set()
                     held, rows = s, []
                 rows.append((k, p, tuple(rest.split())))
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
         if held:
-            yield pd.DataFrame(sorted(neighbours(held[0], rows)), columns=["a", "b"])
+            yield pd.DataFrame(sorted(neighbours(held[0], rows, held[1:])), columns=["a", "b"])
 
     kind = df.schema[key].dataType.simpleString()
-    shards = reps.mapInPandas(shard, f"shard string, k {kind}, p string, rest string")
+    readings = cut(reps.mapInPandas(shard, f"w string, k {kind}, p string, rest string"))
+    left = readings.select("w").distinct().mapInPandas(rests, "h string, w string").select(F.xxhash64("h").alias("h"), "w")
+    met = left.toDF("h", "shard").join(left, "h").select("shard", "w").distinct()
+    shards = met.mapInPandas(near_words, "shard string, w string").join(readings, "w").select("shard", "k", "p", "rest")
     near = shards.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "k").mapInPandas(join, f"a {kind}, b {kind}").distinct()
     same = rows.join(reps.select("n", F.col("k").alias("rep")), "n").filter("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
     return near.unionAll(same)
