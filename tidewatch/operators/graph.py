@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.runtime import cut
+from tidewatch.runtime import cut, drop
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of an edge with the least node of its component.
 
-    Alternates large-star and small-star steps: the edge table never grows beyond its number of edges, and no
-    node's neighbours are gathered into one row.  Each round is checkpointed.  Self-loops and nulls are left
-    out, so a node without another neighbour doesn't appear; an empty table gives an empty table.
+    Alternates large-star and small-star steps until nothing changes: the edge table never grows beyond its
+    number of edges, and no node's neighbours are gathered into one row.  Each round is written to the shared
+    folder, the one before it deleted.  Self-loops and nulls are left out, so a node without another neighbour
+    doesn't appear; an empty table gives an empty table.
     """
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     now = cut(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
+    before = mark(now)
+    while before[0]:
         # large-star: every larger neighbour of u is linked to the least of u and its neighbours
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -26,9 +32,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = cut(small.filter("u <> v").distinct())
-        if now.count() == after.count() and now.exceptAll(after).isEmpty():
+        drop(now)
+        now, last, before = after, before, mark(after)
+        if before == last:
             break
-        now = after
-    stars = after.groupBy("u").agg(F.min("v").alias("root"))
+    stars = now.groupBy("u").agg(F.min("v").alias("root"))
     roots = stars.select(F.col("root").alias("node"), "root")
     return stars.select(F.col("u").alias("node"), "root").unionAll(roots).distinct()

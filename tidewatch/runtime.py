@@ -4,22 +4,52 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; a private one only where none is set (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for intermediate tables, below the one named by spark.checkpoint.dir.
+
+    Where none is named, a local session (tests) gets one of its own; on a cluster that is an error, as
+    executors would each write to their own disks.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files: cuts lineage, survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table to the shared folder and continue from its files: cuts lineage, survives executor loss.
+
+    Unlike a checkpoint of rows, the table is computed once, compressed, and read by columns.  It is deleted
+    when the session ends, or by ``drop``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote for ``df``; what was made of it must be written already."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        if os.path.basename(path).startswith("table-"):
+            fs, at = _hadoop(df.sparkSession, path)
+            fs.delete(at, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def share_package(spark: SparkSession) -> None:
@@ -33,7 +63,3 @@ def share_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def lit_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
