@@ -1,29 +1,32 @@
 """Problem 7: records that are the same text but for small edits.
 
-T-occurrence search, without loss for edits of words.  The features of a text of n words are its runs of two words
-(characters, for Japanese), or its words where it is short.  A word taken out or put in its place kills at most
-two runs, so texts that share ``SHARE`` of the words of the longer one share at least T = features - 2 (1 - SHARE) n
-of the features, on either side.  With all features in one order, rarest first, such texts have a feature in common
-among the first (features - T + 1) of each: only those are posted.  The order comes from a sample; it changes what
-the search costs, never what it finds.
-
-Lists of a feature are merged whole, however long: pairs within are cut by length and by a 256-bit parity
-signature of the bags of words, whose differing bits are at most the words not shared.  The whole bags of what is
-left are then probed, and a pair is kept where the count of common words reaches T.
+T-occurrence search by DivideSkip, without loss for edits of words.  The features of a text of n words are its runs
+of two words (characters, for Japanese), or its words where it is short.  A word taken out or put in its place
+kills at most two runs, so texts that share ``SHARE`` of the words of the longer one share at least
+T = features - 2 (1 - SHARE) n of the features, on either side.  All inverted lists are in one order, the short ones
+first.  The T - 1 longest lists of a text are skipped: such texts still meet in one of the others, which are merged.
+The order comes from a sample; it changes what the search costs, never what it finds.
+
+Postings travel in blocks, one for each batch of texts and each part of the feature space, with the size and a
+512-bit parity signature of each text's bag of words, whose differing bits are at most the words not shared.  A list
+is merged whole, however long, under size and signature; a list that the sample shows to be long is laid out in
+cells, each pair of its blocks in one cell, so that no task gets it all.  What is left of the bags is then probed by
+binary search, and a pair is kept where the common words reach T.
 
 Exact copies are one class from the start; classes are paired and their members listed only at the end.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.mojibake import repair
@@ -36,10 +39,13 @@ SHORT = (19, 24)
 #: Texts the order of features is taken from, at most, and the counters it is kept in.
 SAMPLE, COUNTERS = 10_000, 1 << 18
 #: Words of 64 bits of a signature.
-SIGN = 4
-#: Lists of up to so many texts are merged many at a time.
-MANY = 24
+SIGN = 8
+#: Lists of up to so many texts are merged many at a time; lists of more than CELL texts are laid out in cells.
+MANY, CELL = 24, 20_000
+#: Postings that one task merges, about.
+TASK = 2_000_000
 _WORD = re.compile("[぀-ヿ㐀-鿿]|[^\\W_぀-ヿ㐀-鿿]+(?:[.,]\\d+)?")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(title: str | None, summary: str | None) -> list[str]:
@@ -47,211 +53,258 @@ def words(title: str | None, summary: str | None) -> list[str]:
 
 
 class Codes(dict):
-    """Word -> code, remembered within bounds."""
+    """Codes of the words between two blanks, remembered within bounds."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        code = self[word] = zlib.crc32(word.encode())
-        return code
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        out = tuple(zlib.crc32(w.encode()) for w in _WORD.findall(raw.lower()))
+        if len(raw) <= 24:
+            if len(self) > 300_000:
+                self.clear()
+            self[raw] = out
+        return out
 
+    def of(self, title: str | None, summary: str | None) -> bytes:
+        text = f"{repair(title) or ''} {repair(summary) or ''}"
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.uint32).tobytes()
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def _runs(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``width`` words within one text, and the texts they belong to."""
     n = len(codes) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.full(n, width, np.uint64)
     for i in range(width):
         h = (h ^ codes[i : n + i]) * _MIX
         h ^= h >> np.uint64(29)
     inside = doc[:n] == doc[width - 1 :]
-    return h[inside], doc[:n][inside]
+    return (h[inside] >> np.uint64(32)).astype(np.int64), doc[:n][inside]
 
 
-def _features(texts: list[list[str]], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, codes of all words and their texts; then texts and hashes of their features, each once and sorted."""
-    size = np.array([len(w) for w in texts], np.int64)
-    flat = np.fromiter((c for w in texts for c in map(codes.__getitem__, w)), np.uint64, int(size.sum()))
-    doc = np.repeat(np.arange(len(texts)), size)
+def _features(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, codes of all words and their texts; then text and kind (2 text + kind) and hash of each feature, each once and sorted."""
+    size = np.array([len(b) // 4 for b in bags], np.int64)
+    flat = np.frombuffer(b"".join(bags), np.uint32).astype(np.uint64)
+    doc = np.repeat(np.arange(len(bags)), size)
     h1, d1 = _runs(flat, doc, 1)
     h2, d2 = _runs(flat, doc, 2)
     keep1, keep2 = size[d1] <= SHORT[1], size[d2] >= SHORT[0]
-    kind = np.concatenate([np.zeros(keep1.sum(), np.int64), np.ones(keep2.sum(), np.int64)])
-    h, d = np.concatenate([h1[keep1], h2[keep2]]), np.concatenate([d1[keep1], d2[keep2]])
-    if len(d):
-        x = np.unique(np.stack([d * 2 + kind, (h >> np.uint64(32)).astype(np.int64)], 1), axis=0)
-    else:
-        x = np.zeros((0, 2), np.int64)
-    return size, flat, doc, x[:, 0], x[:, 1]
-
-
-def _block(texts: list[list[str]], codes: Codes, counts: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, list[np.ndarray]]:
-    """Size, bag, signature and posted features of each text of a block."""
-    size, flat, doc, dk, h = _features(texts, codes)
-    short = (flat & np.uint64(0xFFFF)).astype(np.int64)
-    bags = short[np.argsort(doc * 65536 + short, kind="stable")].astype(np.uint16)
-    edge = np.concatenate([[0], np.cumsum(size)])
-    bits = 64 * SIGN
-    odd = (np.bincount(doc * bits + short % bits, minlength=len(texts) * bits) & 1).astype(np.uint8).reshape(len(texts), bits)
-    sig = np.packbits(odd, axis=1).view(np.int64).reshape(len(texts), SIGN)
-    order = np.lexsort((h, counts[h % COUNTERS], dk))
-    dk, h = dk[order], h[order]
-    n, width = size[dk >> 1], 1 + (dk & 1)
-    first = np.arange(len(dk)) - np.searchsorted(dk, dk)
-    posted = first <= np.floor(width * (1 - SHARE) * n + 1e-9)
-    d, f = dk[posted] >> 1, h[posted].astype(np.uint32).view(np.int32)
-    at = np.searchsorted(d, np.arange(len(texts) + 1))
-    return size, [bags[edge[i] : edge[i + 1]].tobytes() for i in range(len(texts))], sig, [f[at[i] : at[i + 1]] for i in range(len(texts))]
-
-
-def features(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
-    """(k, h, n, bag, s0.., f): hash of the text, count, sorted 16-bit codes and signature of its words, and posted features.
-
-    Texts without a summary are left out.
-    """
-
-    def lists(parts: list[np.ndarray]) -> pa.ListArray:
-        edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total = Codes(), np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            h = _features([words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], codes)[4]
-            total += np.bincount(h % COUNTERS, minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())], ["c"])
-
-    signs = [f"s{i}" for i in range(SIGN)]
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.filter(F.length(F.trim(summary)) > 0).select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(summary).alias("s"), F.xxhash64(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.col(summary)).alias("h"))
-    sums = [np.frombuffer(r["c"], np.uint16).astype(np.int64) for r in rows.limit(SAMPLE).mapInArrow(count, "c binary").collect()]
-    order = np.minimum(sum(sums, np.zeros(COUNTERS, np.int64)), 65535).astype(np.uint16)
+    x = _distinct(np.concatenate([(d1[keep1] * 2) << 32 | h1[keep1], (d2[keep2] * 2 + 1) << 32 | h2[keep2]]))
+    return size, flat, doc, x >> 32, x & 0xFFFFFFFF
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
-        for b in batches:
-            texts = [words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            size, bags, sig, f = _block(texts, codes, order)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(size.astype(np.int32)), pa.array(bags, pa.binary()), *(pa.array(sig[:, i].copy()) for i in range(SIGN)), lists(f)], ["k", "h", "n", "bag", *signs, "f"])
 
-    return rows.mapInArrow(run, f"k {kind}, h bigint, n int, bag binary, {', '.join(f'{c} bigint' for c in signs)}, f array<int>")
-
-
-def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+def signatures(flat: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Parity of the words of each text that fall on each of the bits."""
+    bits = 64 * SIGN
+    at = doc * bits + ((flat * _MIX) >> np.uint64(40)).astype(np.int64) % bits
+    return np.packbits((np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64).reshape(n, SIGN)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of whole numbers, lowest bytes first and together, so that they compress."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(b: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(b, n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(n)
+
+
+def blocks(ids: np.ndarray, bags: list[bytes], counts: np.ndarray, scale: float, parts: int) -> Iterator[tuple]:
+    """(part, postings, texts, columns ...) of a batch of texts: what each part of the feature space gets of it."""
+    size, flat, doc, dk, h = _features(bags)
+    sig = signatures(flat, doc, len(bags))
+    often = counts[h % COUNTERS]
+    order = np.lexsort((h, often, dk))
+    dk, h, often = dk[order], h[order], often[order]
+    width = 1 + (dk & 1)
+    posted = np.arange(len(dk)) - np.searchsorted(dk, dk) <= np.floor(width * (1 - SHARE) * size[dk >> 1] + 1e-9)
+    d, h, often = dk[posted] >> 1, h[posted], often[posted]
+    # a long list of s blocks: a text of block i goes to the cells (i, j) for all j; side 0 where both are one block
+    s = np.maximum(1, np.ceil(often * scale / CELL).astype(np.int64))
+    block = ((ids[d].astype(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % s
+    again = np.repeat(np.arange(len(d)), s)
+    j = np.arange(len(again)) - np.repeat(np.cumsum(s) - s, s)
+    d, h, s, block = d[again], h[again], s[again], block[again]
+    side = np.where(j == block, 0, np.where(block < j, 1, 2)).astype(np.uint8)
+    cell = np.minimum(j, block) * s + np.maximum(j, block)
+    mixed = ((h.astype(np.uint64) << np.uint64(20) ^ cell.astype(np.uint64)) * _MIX >> np.uint64(32)).astype(np.int64)
+    f = np.where(s > 1, mixed, h)
+    part = f * parts >> 32
+    order = np.argsort(f, kind="stable")
+    f, d, side, part = f[order], d[order], side[order], part[order]
+    edge = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+        a, b = edge[p], edge[p + 1]
+        texts = _distinct(d[a:b])
+        step = np.diff(f[a:b], prepend=0).astype(np.uint32)
+        yield p, int(b - a), len(texts), _pack(step), _pack(np.searchsorted(texts, d[a:b]).astype(np.uint32)), _pack(side[a:b]), _pack(ids[texts]), _pack(size[texts].astype(np.uint32)), _pack(sig[texts].reshape(-1))
+
+
+_BLOCK = "part int, postings int, texts int, f binary, text binary, side binary, id binary, n binary, sig binary"
+
+
+def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray) -> np.ndarray:
     """Whether the signatures of rows i and of rows j, which are no shorter, allow SHARE of common words."""
     most = n[i] + (1 - 2 * SHARE) * n[j] + 1e-6
-    return (n[i] + 1e-6 >= SHARE * n[j]) & (np.bitwise_count(s[i] ^ s[j]).sum(1) <= most)
+    ok = (n[i] + 1e-6 >= SHARE * n[j]) & ((side[i] == 0) | (side[i] != side[j]))
+    return ok & (np.bitwise_count(s[i] ^ s[j]).sum(1, dtype=np.int64) <= most)
 
 
-def merge(f: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def merge(f: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i, j) of one list whose texts may be alike; rows are in order of list and size."""
     start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
-    end = np.append(start[1:], len(f))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    end = np.append(start[1:], len(f)).astype(np.int64)
     size = end - start
     last = np.repeat(end, size)
     i = np.flatnonzero(np.repeat(size <= MANY, size))
     d = 1
-    while len(i := i[(i + d < last[i])]):
-        ok = i[_alike(i, i + d, n, s)]
-        left.append(ok)
-        right.append(ok + d)
+    while len(i := i[i + d < last[i]]):
+        ok = i[_alike(i, i + d, n, s, side)]
+        yield ok, ok + d
         d += 1
-    for a, b in zip(start[size > MANY], end[size > MANY]):
-        for x in range(a, b, 256):
-            y = min(x + 256, b)
+    # folded to 128 bits, parities still differ in no more bits than words
+    one, two = np.bitwise_xor.reduce(s[:, ::2], 1), np.bitwise_xor.reduce(s[:, 1::2], 1)
+    bound = np.minimum((2 - 2 * SHARE) * n + 1e-6, 255).astype(np.uint8)
+    for a, b in zip(start[size > MANY].tolist(), end[size > MANY].tolist()):
+        for x in range(a, b, 128):
+            y = min(x + 128, b)
             # rows of one list up to the size that the longest of the block allows
             z = x + int(np.searchsorted(n[x:b], n[y - 1] / SHARE + 1e-6, "right"))
-            most = n[x:y, None] + (1 - 2 * SHARE) * n[None, x:z] + 1e-6
-            apart = sum(np.bitwise_count(s[x:y, c, None] ^ s[None, x:z, c]).astype(np.int16) for c in range(SIGN))
-            p, q = np.nonzero(apart <= most)
-            p, q = p[p < q] + x, q[p < q] + x
-            ok = _alike(p, q, n, s)
-            left.append(p[ok])
-            right.append(q[ok])
-    return np.concatenate(left), np.concatenate(right)
+            apart = np.bitwise_count(one[x:y, None] ^ one[None, x:z]) + np.bitwise_count(two[x:y, None] ^ two[None, x:z])
+            at = np.flatnonzero(apart <= bound[x:y, None])
+            p, q = at // (z - x) + x, at % (z - x) + x
+            later = p < q
+            p, q = p[later], q[later]
+            ok = _alike(p, q, n, s, side)
+            yield p[ok], q[ok]
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of the lists of a partition in order of f and n; a list is merged when the next one has begun."""
-
-    def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        f, n = t.column("f").to_numpy(), t.column("n").to_numpy().astype(np.int64)
-        s = np.stack([t.column(f"s{i}").to_numpy() for i in range(SIGN)], 1).view(np.uint64)
-        i, j = merge(f, n, s)
-        k = t.column("k").combine_chunks()
-        a, b = k.take(pa.array(i)), k.take(pa.array(j))
-        swap = pc.less(b, a)
-        x = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b)}).group_by(["a", "b"]).aggregate([]).combine_chunks()
-        return pa.RecordBatch.from_arrays([x.column("a").combine_chunks(), x.column("b").combine_chunks()], ["a", "b"])
-
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        held.append(b)
-        rows += b.num_rows
-        f = b.column(b.schema.get_field_index("f")).to_numpy()
-        if rows > 200_000 and b.num_rows and f[0] != f[-1]:
-            cut_at = int(np.searchsorted(f, f[-1]))
-            yield pairs_of(pa.Table.from_batches([*held[:-1], b.slice(0, cut_at)]))
-            held, rows = [b.slice(cut_at)], b.num_rows - cut_at
-    if rows:
-        yield pairs_of(pa.Table.from_batches(held))
-
-
-def same_text(a: bytes, b: bytes) -> bool:
-    """Whether two bags of codes share at least SHARE of the larger one."""
-    most, least = max(len(a), len(b)) // 2, min(len(a), len(b)) // 2
-    if least < SHARE * most:
-        return False
-    both = np.sort(np.concatenate([_numbered(a), _numbered(b)]))
-    return int((both[1:] == both[:-1]).sum()) >= SHARE * most
-
-
-def _numbered(bag: bytes) -> np.ndarray:
-    """Codes of a sorted bag, repeated ones made distinct by their number."""
-    x = np.frombuffer(bag, np.uint16).astype(np.int64)
-    return x * 4096 + np.arange(len(x)) - np.searchsorted(x, x)
+    """Candidates (a, b) of a part of the feature space, each once."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    texts = np.array([r["texts"] for r in rows], np.int64)
+    first = np.cumsum(texts) - texts
+    col = lambda name, count, kind, times=1: [_unpack(r[name], r[count] * times, kind) for r in rows]
+    put = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    f = put([np.cumsum(x.astype(np.int64)) for x in col("f", "postings", np.uint32)], np.int64)
+    at = put([x.astype(np.int64) + o for x, o in zip(col("text", "postings", np.uint32), first)], np.int64)
+    side = put(col("side", "postings", np.uint8), np.uint8)
+    ids, n = put(col("id", "texts", np.int64), np.int64), put(col("n", "texts", np.uint32), np.uint32).astype(np.int64)
+    sig = put(col("sig", "texts", np.uint64, SIGN), np.uint64).reshape(-1, SIGN)
+    del rows
+    order = np.lexsort((n[at], f))
+    f, at, side = f[order], at[order], side[order]
+    held, new, fresh = np.zeros(0, np.int64), [], 0
+    for i, j in merge(f, n[at], sig[at], side):
+        x, y = at[i], at[j]
+        new.append(np.minimum(x, y) << 32 | np.maximum(x, y))
+        fresh += len(i)
+        if fresh > 4_000_000:
+            held, new, fresh = _distinct(np.concatenate([held, *new])), [], 0
+    held = _distinct(np.concatenate([held, *new]))
+    for k in range(0, len(held), 500_000):
+        x, y = ids[held[k : k + 500_000] >> 32], ids[held[k : k + 500_000] & 0xFFFFFFFF]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _numbered(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, code and number of it) of every word, in order."""
+    size = [len(b) // 4 for b in bags]
+    pair = np.repeat(np.arange(len(bags)), size)
+    x = np.sort(pair << 32 | np.frombuffer(b"".join(bags), np.uint32))
+    return x, np.arange(len(x)) - np.searchsorted(x, x)
+
+
+def same_text(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Whether the bags of each pair have SHARE of the larger one in common: words of one are probed in the other."""
+    most = np.maximum([len(x) // 4 for x in a], [len(x) // 4 for x in b])
+    (x, i), (y, j) = _numbered(a), _numbered(b)
+    if not len(y):
+        return most == 0
+    place = np.searchsorted(y, x) + i  # the i-th copy of a word meets the i-th of the other bag
+    hit = place < len(y)
+    hit[hit] = y[place[hit]] == x[hit]
+    return np.bincount(x[hit] >> 32, minlength=len(a)) >= SHARE * most - 1e-9
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = [same_text(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        if b.num_rows:
+            keep = same_text(b.column(2).to_pylist(), b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+
+def _id(df: DataFrame, key: str) -> Column:
+    """The key as a whole number: itself, or its hash."""
+    return F.col(key).cast("bigint") if df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
 
 
 def class_pairs(df: DataFrame, key: str, title: str, summary: str) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of class representatives whose texts are the same but for small edits, and members (rep, k).
 
-    Null titles count as empty; rows with a null, empty or blank summary take no part.  Repeated rows are
-    members of one class.  Columns other than the named ones are ignored, whatever their names.
+    Members are listed for classes of more than one row, the representative (the least key) included.  Null titles
+    count as empty; rows with a null key or a null, empty or blank summary take no part.  Repeated rows are members of one
+    class.  Columns other than the named ones are ignored, whatever their names.
     """
-    feats = cut(features(df, key, title, summary))
-    groups = feats.groupBy("h").agg(F.min("k").alias("rep"), F.collect_list("k").alias("ks"))
-    members = cut(groups.select("rep", F.explode("ks").alias("k")))
-    signs = [f"s{i}" for i in range(SIGN)]
-    reps = feats.select("k", "n", *signs, "f").join(members.filter("rep = k").select("k"), "k", "left_semi")
-    posting = reps.select(F.explode("f").alias("f"), "k", "n", *signs)
-    kind = df.schema[key].dataType.simpleString()
-    lists = posting.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f").sortWithinPartitions("f", "n")
-    candidates = lists.mapInArrow(_join, f"a {kind}, b {kind}").distinct()
-    bags = feats.select("k", "bag")
+    spark = df.sparkSession
+    rows = df.filter((F.length(F.trim(summary)) > 0) & F.col(key).isNotNull()).select(_id(df, key).alias("k"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.col(summary).alias("s"))
+    hashes = rows.select("k", F.xxhash64("t", "s").alias("h"), F.hash("s", "t").alias("h2"), F.length("s").alias("len"))
+    text = ["h", "h2", "len"]
+    copied = hashes.groupBy(*text).agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = cut(hashes.join(copied, text).select("rep", "k").distinct())
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for b in batches:
+            bags = [codes.of(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary())], ["k", "bag"])
+
+    bags = cut(rows.join(members.filter("rep <> k").select("k"), "k", "left_anti").mapInArrow(encode, "k bigint, bag binary"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, texts, postings = np.zeros(COUNTERS, np.int64), 0, 0
+        for b in batches:
+            size, _, _, dk, h = _features(b.column(1).to_pylist())
+            total += np.bincount(h % COUNTERS, minlength=COUNTERS)
+            texts, postings = texts + len(size), postings + len(h)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary()), pa.array([texts]), pa.array([postings])], ["c", "texts", "postings"])
+
+    sample = bags.limit(SAMPLE).mapInArrow(count, "c binary, texts bigint, postings bigint").collect()
+    order = sum((np.frombuffer(r["c"], np.int32) for r in sample), np.zeros(COUNTERS, np.int32))
+    scale = bags.count() / max(1, sum(r["texts"] for r in sample))
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(scale * sum(r["postings"] for r in sample) / 2 / TASK))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                out = list(zip(*blocks(b.column(0).to_numpy(), b.column(1).to_pylist(), order, scale, parts)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in out[:3]), *(pa.array(c, pa.binary()) for c in out[3:])], [c.split()[0] for c in _BLOCK.split(", ")])
+
+    lists = bags.mapInArrow(post, _BLOCK).repartitionById(parts, F.col("part"))
+    candidates = lists.mapInArrow(_join, "a bigint, b bigint").distinct()
     near = candidates.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
-    return near.mapInArrow(_verify, f"a {kind}, b {kind}"), members
+    return near.mapInArrow(_verify, "a bigint, b bigint"), members
 
 
 def pairs(df: DataFrame, key: str, title: str, summary: str) -> DataFrame:
     """(key_a, key_b): all pairs of rows, smaller key first, copies of one text included."""
     near, members = class_pairs(df, key, title, summary)
-    left, right = members.toDF("a", "ka"), members.toDF("b", "kb")
-    across = near.join(left, "a").join(right, "b").select("ka", "kb")
-    within = left.join(members.toDF("a", "kb"), "a").filter("ka < kb").select("ka", "kb")
-    both = across.unionAll(within)
-    return both.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
+    across = near.join(members.toDF("a", "ka"), "a", "left").join(members.toDF("b", "kb"), "b", "left").select(F.coalesce("ka", "a").alias("x"), F.coalesce("kb", "b").alias("y"))
+    within = members.toDF("rep", "x").join(members.toDF("rep", "y"), "rep").filter("x < y").select("x", "y")
+    both = across.unionAll(within).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+    if df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return both
+    names = df.select(F.xxhash64(key).alias("id"), F.col(key).alias("name")).distinct()
+    named = both.toDF("x", "y").join(names.toDF("x", "nx"), "x").join(names.toDF("y", "ny"), "y")
+    return named.select(F.least("nx", "ny").alias(f"{key}_a"), F.greatest("nx", "ny").alias(f"{key}_b"))
 
 
 def found(article: DataFrame) -> DataFrame:
