@@ -45,7 +45,7 @@ def test_history(spark):
 
 def test_segment_index_finds_all_pairs_of_bounded_edit_distance(spark):
     rng = random.Random(1)
-    words = "aa bb cc dd ee ff".split()
+    words = "aa bb cc".split()
     titles = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(3, 7))) for _ in range(60)})
     df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "k long, t string")
     p = history.prepare(history.described(df, "k", "t"))
@@ -59,8 +59,8 @@ def test_segment_index_finds_all_pairs_of_bounded_edit_distance(spark):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    want = {(i, j) for i, j in itertools.combinations(range(len(titles)), 2) if dist(titles[i].split(), titles[j].split()) <= history.EDITS}
-    assert got == want
+    want = {(i, j) for i, j in itertools.combinations(range(len(titles)), 2) if dist(titles[i].split(), titles[j].split()) <= min(history.EDITS, len(titles[i].split()) // 3, len(titles[j].split()) // 3)}
+    assert got == want and len(want) > 10
 
 
 def test_batch_finds_longer_and_shorter_titles_of_the_index(spark):
@@ -71,6 +71,28 @@ def test_batch_finds_longer_and_shorter_titles_of_the_index(spark):
     assert {tuple(r) for r in history.probe(new, history.index_entries(stored), stored).collect()} == {(i, 0) for i in range(10, 15)}
 
 
+def test_batches_against_a_stored_index_equal_all_pairs(spark):
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(6, 12))] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randrange(2)] = [f"x{rng.randrange(9)}"] * rng.randrange(2)
+        rows.append((i, rng.randrange(4), " ".join(t) if i % 17 else None, f"http://a.test/{rng.randrange(400)}" if i % 3 else None))
+    df = spark.createDataFrame(rows, "pos long, batch_no int, title string, link string")
+    whole = {tuple(r) for r in history.pieces(df, "pos", "title", "link").collect()}
+    parts = {tuple(r) for r in history.pieces(df, "pos", "title", "link", "batch_no").collect()}
+    assert whole == parts and len(whole) > 30
+    store = history.Store()
+    store.add(df.filter("batch_no = 0"), "pos", "title", "link")
+    before = store.titles.count()
+    new = store.add(df.filter("batch_no = 1"), "pos", "title", "link")
+    ids = {r[0] for r in rows if r[1] == 1}
+    assert all(set(r) & ids for r in map(tuple, new.collect())) and store.titles.count() > before
+
+
 @pytest.mark.parametrize("a, b, same", [("https://www.x.test/a/?b=1&utm_medium=q", "http://X.test/a?b=1#c", True), ("http://x.test/a?p=1", "http://x.test/a?p=2", False), ("http://x.test/A", "http://x.test/a", False)])
 def test_canonical_url(spark, a, b, same):
     r = spark.createDataFrame([(a, b)], "a string, b string").select(canonical_url(F.col("a")), canonical_url(F.col("b"))).first()
@@ -139,6 +161,30 @@ def test_linkage(spark):
     assert linkage.found(a.limit(0), b).count() == 0 and linkage.found(a, b.limit(0)).count() == 0
 
 
+def test_windows_slide_across_partitions(spark):
+    rng = random.Random(9)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    rows = [(i % 3 == 0, i, f"{rng.randrange(10**6):06d}") for i in range(300)]
+    both = spark.createDataFrame([(1 if b else 0, k, [s]) for b, k, s in rows], "side tinyint, k long, keys array<string>")
+    both = both.select("*", *(F.lit(0).cast("bigint").alias(c) for c in ("sig", "who", "fig", "mat")))
+    got = {tuple(r) for r in linkage.neighbours(both).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+    want = {(x[1], y[1]) if y[0] else (y[1], x[1]) for i, x in enumerate(order) for y in order[i + 1 : i + 1 + linkage.WINDOW] if x[0] != y[0]}
+    assert got == want
+
+
+def test_assignment_has_the_greatest_total(spark):
+    rng = random.Random(10)
+    edges = [(lk, ak, rng.randint(10, 99) / 100) for lk in range(6) for ak in range(3) if rng.random() < 0.7]
+    got = linkage.assign(spark.createDataFrame(edges, "lk long, ak long, confidence double"), 2, 0.001).collect()
+    conf = {(lk, ak): c for lk, ak, c in edges}
+    choices = [[None, *(ak for ak in range(3) if (lk, ak) in conf)] for lk in range(6)]
+    best = max(sum(conf[lk, ak] for lk, ak in enumerate(c) if ak is not None) for c in itertools.product(*choices) if all(c.count(ak) <= 2 for ak in range(3)))
+    assert abs(sum(r.confidence for r in got) - best) < 0.01
+    assert len({r.lk for r in got}) == len(got) and max(Counter(r.ak for r in got).values()) <= 2
+
+
 # 5 ---------------------------------------------------------------------------------------------------------
 
 

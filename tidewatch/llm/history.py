@@ -3,24 +3,28 @@
 A record is looked up in two indexes that only grow: canonical links, and a segment index over titles for
 bounded edit distance.  A title is a string of words; it is cut into ``EDITS`` + 1 segments, stored by length,
 position and content.  A title within ``EDITS`` word edits of a stored one keeps at least one of its segments
-whole, so probing the few substrings that can line up with a segment finds every such pair; built-in
-Levenshtein over one-letter codes of the words verifies it.  Figures, and materials that carry a digit, are
+whole, so probing the few substrings that can line up with a segment finds every such pair; the edit distance of
+the words verifies it.  Figures, and materials that carry a digit, are
 part of the key, as titles that differ in them are other pieces.
 
-``index_entries`` makes the rows to append for a batch, ``probe`` finds the pairs of a batch with an index;
-neither reads the records accepted before.
+``Store`` keeps the indexes as tables of one folder per batch.  ``Store.add`` takes a batch: it looks its records
+up in what is stored, by key only, joins them to the pieces found, and appends the batch's own entries.  No batch
+reads the records accepted before, and a batch that brings two pieces together adds that link alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.urls import canonical_url
 from tidewatch.operators.graph import components
-from tidewatch.runtime import cut
+from tidewatch.runtime import cut, drop
 
-EDITS = 2
+EDITS = 3
 #: What outlets put before and after a title.
 PREFIX = r"^\s*(?:[\[(【][^\])】]{1,24}[\])】]\s*|(?i:re|fwd?|aw|wg|update|updated|news|breaking|exclusive|report|watch|video|just in|flash|eilmeldung|actualité|última hora|ultim'ora|atualização|速報)\s?[:：]\s*)+"
 SUFFIX = r"(?:\s+[|–—-]\s+[^|–—]{1,40}|\s*[\[(【][^\])】\d]{1,24}[\])】]|\s*(?:…|\.\.\.)|[\s.!]+)+$"
@@ -43,9 +47,9 @@ def _key(words: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(words, lambda w: w.rlike(r"\d"))), " ")
 
 
-def _letters(words: Column) -> Column:
-    """One letter for each word, so that edit distance over words is edit distance over strings."""
-    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.concat(F.lit("5"), F.substring(F.md5(w), 1, 3))), "")), "UTF-16BE")
+def bound(n: Column) -> Column:
+    """Word edits that a title of n words may have: a third of its words, EDITS at most; of two titles, the shorter one's count."""
+    return F.least(F.lit(EDITS), F.floor(n / 3)).cast("int")
 
 
 def described(df: DataFrame, key: str, title: str, link: str | None = None) -> DataFrame:
@@ -61,73 +65,149 @@ def described(df: DataFrame, key: str, title: str, link: str | None = None) -> D
 
 
 def prepare(rows: DataFrame) -> DataFrame:
-    """(rep, words, n, key, letters, names): distinct titles of ``described`` rows, with the least key that bears each."""
+    """(rep, th, words, n, key, names): distinct titles of ``described`` rows, with the least key that bears each."""
     one = rows.filter("th is not null").groupBy("th").agg(F.min(F.struct("k", "t", "names")).alias("x"))
     words = F.split("x.t", " ")
-    return one.select(F.col("x.k").alias("rep"), "th", words.alias("words"), F.size(words).alias("n"), _key(words).alias("key"), _letters(words).alias("letters"), F.col("x.names").alias("names"))
+    return one.select(F.col("x.k").alias("rep"), "th", words.alias("words"), F.size(words).alias("n"), _key(words).alias("key"), F.col("x.names").alias("names"))
 
 
 def _segments(n: Column) -> Column:
-    """(number, start, length) of the EDITS + 1 segments of a title of n words."""
-    parts = EDITS + 1
+    """(number, start, length) of the segments of a title of n words, one more than its edits."""
+    parts = bound(n) + 1
     start = lambda i: F.floor(n * i / parts).cast("int")
-    return F.array(*(F.struct(F.lit(i).alias("i"), start(i).alias("at"), (start(i + 1) - start(i)).alias("len")) for i in range(parts)))
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("i"), start(i).alias("at"), (start(i + 1) - start(i)).alias("len")))
+
+
+def _hash(length: str, at: Column) -> Column:
+    return F.xxhash64("key", length, "s.i", F.array_join(F.slice("words", at + 1, F.col("s.len")), " "))
 
 
 def index_entries(titles: DataFrame) -> DataFrame:
     """Rows of the segment index: (h, rep), h standing for figures, length, number and content of the segment."""
-    seg = titles.select("rep", "n", "key", "letters", F.explode(_segments(F.col("n"))).alias("s"))
-    return seg.select(F.xxhash64("key", "n", "s.i", F.substring(F.col("letters"), F.col("s.at") + 1, F.col("s.len"))).alias("h"), "rep")
+    seg = titles.select("rep", "n", "key", "words", F.explode(_segments(F.col("n"))).alias("s"))
+    return seg.select(_hash("n", F.col("s.at")).alias("h"), "rep")
 
 
 def probes(titles: DataFrame, within: bool = False) -> DataFrame:
-    """(h, a): the substrings of each title that can line up with a segment of one up to EDITS words longer or shorter.
+    """(h, a): the substrings of each title that can line up with a segment of one a few words longer or shorter.
 
-    Segment i has at most i edits before it and EDITS - i after it, which bounds the places it can have.
+    Segment i has at most i edits before it and the others after it, which bounds the places it can have.
     ``within``: the index is that of these titles, so longer ones are enough: each pair is met from its shorter side.
     """
-    p = titles.select("rep", "n", "key", "letters", F.explode(F.sequence(F.lit(0 if within else -EDITS), F.lit(EDITS))).alias("d"))
-    p = p.select("*", (F.col("n") + F.col("d")).alias("m")).filter("m > 0").select("*", F.explode(_segments(F.col("m"))).alias("s"))
-    low = F.greatest(F.lit(0), F.col("s.at") + F.greatest(-F.col("s.i"), -F.col("d") - (EDITS - F.col("s.i"))))
-    high = F.least(F.col("n") - F.col("s.len"), F.col("s.at") + F.least(F.col("s.i"), -F.col("d") + (EDITS - F.col("s.i"))))
+    p = titles.select("rep", "n", "key", "words", F.explode(F.sequence(F.lit(0 if within else -EDITS), F.lit(EDITS))).alias("d"))
+    p = p.select("*", (F.col("n") + F.col("d")).alias("m")).filter("m > 0").withColumn("e", bound(F.col("m"))).filter(F.abs("d") <= bound(F.least("n", "m")))
+    p = p.select("*", F.explode(_segments(F.col("m"))).alias("s"))
+    low = F.greatest(F.lit(0), F.col("s.at") + F.greatest(-F.col("s.i"), -F.col("d") - (F.col("e") - F.col("s.i"))))
+    high = F.least(F.col("n") - F.col("s.len"), F.col("s.at") + F.least(F.col("s.i"), -F.col("d") + (F.col("e") - F.col("s.i"))))
     p = p.filter(low <= high).select("*", F.explode(F.sequence(low, high)).alias("at"))
-    return p.select(F.xxhash64("key", "m", "s.i", F.substring(F.col("letters"), F.col("at") + 1, F.col("s.len"))).alias("h"), F.col("rep").alias("a"))
+    return p.select(_hash("m", F.col("at")).alias("h"), F.col("rep").alias("a"))
+
+
+def word_edits(a: list[str], b: list[str], most: int) -> int:
+    """Words put in, taken out or replaced; most + 1 beyond ``most``."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+        row = now
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [word_edits(x, y, e) <= e for x, y, e in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def probe(titles: DataFrame, index: DataFrame, stored: DataFrame, within: bool = False) -> DataFrame:
-    """(a, b): pairs of a title and one of the index within EDITS word edits that name the same things.
+    """(a, b): pairs of a title and one of the index within the bound of word edits that name the same things.
 
     ``stored`` holds the titles behind the index; ``within``: they are the titles themselves.
     """
+    kind = titles.schema["rep"].dataType.simpleString()
     pairs = probes(titles, within).join(index.toDF("h", "b"), "h").filter("a <> b").select("a", "b").distinct()
-    x = pairs.join(titles.select(F.col("rep").alias("a"), F.col("letters").alias("la"), F.col("names").alias("na"), F.col("words").alias("wa")), "a")
-    x = x.join(stored.select(F.col("rep").alias("b"), F.col("letters").alias("lb"), F.col("names").alias("nb"), F.col("words").alias("wb")), "b")
-    same = (F.levenshtein("la", "lb", EDITS) >= 0) & (F.size(F.array_except("na", "wb")) == 0) & (F.size(F.array_except("nb", "wa")) == 0)
-    return x.filter(same).filter(_same_firm("wa", "wb") & _same_firm("wb", "wa")).select("a", "b")
+    x = pairs.join(titles.select(F.col("rep").alias("a"), F.col("names").alias("na"), F.col("words").alias("wa")), "a")
+    x = x.join(stored.select(F.col("rep").alias("b"), F.col("names").alias("nb"), F.col("words").alias("wb")), "b")
+    x = x.filter((F.size(F.array_except("na", "wb")) == 0) & (F.size(F.array_except("nb", "wa")) == 0)).filter(_same_firm("wa", "wb") & _same_firm("wb", "wa"))
+    return x.select("a", "b", "wa", "wb", bound(F.least(F.size("wa"), F.size("wb"))).alias("e")).mapInArrow(_verify, f"a {kind}, b {kind}")
 
 
 def _same_firm(a: str, b: str) -> Column:
     """No long word of a, unless added, is missing from b without a like-spelt one: names of firms survive typing errors only."""
     odd = F.filter(F.array_except(a, b), lambda w: F.length(w) >= 7)
-    return F.size(F.filter(odd, lambda w: ~F.exists(F.array_except(b, a), lambda v: F.levenshtein(w, v) <= 2) & (F.size(F.array_except(b, a)) > 0))) == 0
-
-
-def pieces(df: DataFrame, key: str, title: str, link: str) -> DataFrame:
-    """(k, piece): the least key of each row's piece, over links and titles together.
-
-    Null, blank and hostless links and null or blank titles match nothing; a row with neither is a piece of
-    its own.  Equal titles and equal links are linked to the least key that bears them, without pairs.
-    """
-    rows = cut(described(df, key, title, link))
-    titles = cut(prepare(rows))
-    near = probe(titles, index_entries(titles), titles, within=True)
-    by_title = rows.select("k", "th").join(titles.select("th", "rep"), "th").filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
-    links = rows.filter("u is not null").groupBy("u").agg(F.min("k").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    by_link = rows.select("k", "u").join(links, "u").filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
-    return components(near.unionAll(by_title).unionAll(by_link)).select(F.col("node").alias("k"), F.col("root").alias("piece"))
+    return F.size(F.filter(odd, lambda w: ~F.exists(F.array_except(b, a), lambda v: F.levenshtein(w, v, 2) >= 0) & (F.size(F.array_except(b, a)) > 0))) == 0
+
+
+class Store:
+    """The indexes of what was accepted: titles, segments, links, and the links between records that make pieces."""
+
+    def __init__(self) -> None:
+        self.titles = self.segments = self.pages = None
+        self.edges: list[DataFrame] = []
+
+    def add(self, batch: DataFrame, key: str, title: str, link: str) -> DataFrame:
+        """(a, b): links of the batch's records to earlier records and to each other; the batch is appended.
+
+        Null, blank and hostless links and null or blank titles match nothing.  Equal titles and equal links are
+        linked to the least key that bears them, without pairs.  Keys of a later batch may be lower or higher.
+        """
+        rows = cut(described(batch, key, title, link))
+        mine = cut(prepare(rows))
+        pages = cut(rows.filter("u is not null").groupBy("u").agg(F.min("k").alias("m")))
+        out = [
+            rows.select("k", "th").join(mine.select("th", "rep"), "th").filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")),
+            rows.select("k", "u").join(pages, "u").filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b")),
+        ]
+        new, new_pages = mine, pages
+        if self.titles is not None:
+            known = self.titles.select("th", F.col("rep").alias("old"))
+            met = cut(mine.join(known, "th", "left"))
+            out.append(met.filter("old is not null").select(F.col("rep").alias("a"), F.col("old").alias("b")))
+            new = met.filter("old is null").select(*mine.columns)
+            seen = cut(pages.join(self.pages.toDF("u", "old"), "u", "left"))
+            out.append(seen.filter("old is not null").select(F.col("m").alias("a"), F.col("old").alias("b")))
+            new_pages = seen.filter("old is null").select("u", "m")
+            out.append(probe(new, self.segments, self.titles))
+        segments = cut(index_entries(new))
+        out.append(probe(new, segments, new, within=True))
+        edges = out[0]
+        for e in out[1:]:
+            edges = edges.unionAll(e)
+        edges = cut(edges.distinct())
+        self.titles = new if self.titles is None else self.titles.unionAll(new)
+        self.segments = segments if self.segments is None else self.segments.unionAll(segments)
+        self.pages = new_pages if self.pages is None else self.pages.unionAll(new_pages)
+        self.edges.append(edges)
+        drop(rows)
+        return edges
+
+    def pieces(self) -> DataFrame:
+        """(k, piece): the least key of the piece of each record that has a fellow."""
+        edges = self.edges[0]
+        for e in self.edges[1:]:
+            edges = edges.unionAll(e)
+        return components(edges).select(F.col("node").alias("k"), F.col("root").alias("piece"))
+
+
+def pieces(df: DataFrame, key: str, title: str, link: str, batch: str | None = None) -> DataFrame:
+    """(k, piece): the least key of each row's piece; batches, in order of their number, are added one by one."""
+    store = Store()
+    numbers = [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()] if batch else [None]
+    for n in numbers or [None]:
+        store.add(df.filter(F.col(batch).eqNullSafe(n)) if batch and numbers else df, key, title, link)
+    return store.pieces()
 
 
 def found(article: DataFrame) -> DataFrame:
-    p = pieces(article, "pos", "title", "link").filter("k <> piece")
+    p = pieces(article, "pos", "title", "link", "batch_no").filter("k <> piece")
     new = article.filter("batch_no >= 1").select("pos")
     return p.join(new, p.k == new.pos).select(F.col("piece").alias("pos_a"), F.col("k").alias("pos_b")).distinct()

@@ -64,39 +64,42 @@ def learn_names(titles: DataFrame, title: str) -> tuple[Column, Column]:
     w = F.col("all")
     pairs = F.arrays_zip(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))).alias("w"), F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))).alias("before"))
     quiet = titles.filter(F.col(title) != F.upper(title)).select(title_words(F.col(title)).alias("all"))
+    first, rest = F.substring("before", 1, 1), F.substring("before", 2, 99)
     inner = quiet.select(F.explode(pairs).alias("x")).select("x.w", "x.before").filter(F.col("w").isNotNull())
+    each = inner.select("w", ((first != F.lower(first)) & (rest == F.lower(rest)) & (rest != "")).alias("follows")).groupBy("w", "follows").agg(F.count(F.lit(1)).alias("c"))
     up, down = F.col("w").rlike(_CAPITAL), F.col("w").rlike(r"^\p{Ll}+$")
     shaped = F.col("w").rlike(_MATERIAL) & ~F.col("w").rlike(_PROCESS)
-    n = cut(inner.groupBy(F.lower("w").alias("w")).agg(F.count_if(up).alias("up"), F.count_if(down).alias("down"), F.count_if(up & F.col("before").rlike(_CAPITAL)).alias("after"), F.count_if(shaped).alias("n"), F.count_if(F.col("w") == F.lower("w")).alias("low")))
+    total = lambda ok: F.sum(F.when(ok, F.col("c")).otherwise(0))
+    n = cut(each.groupBy(F.lower("w").alias("w")).agg(total(up).alias("up"), total(down).alias("down"), total(up & F.col("follows")).alias("after"), total(shaped).alias("n"), total(F.col("w") == F.lower("w")).alias("low")))
     names = n.filter((F.length("w") >= 6) & (F.col("up") >= 2) & (F.col("up") > 4 * F.col("down")) & (F.col("after") < 0.7 * F.col("up")))
     return _filter(names.select("w")), _filter(n.filter((F.col("n") >= 3) & (F.col("n") > F.col("low"))).select("w"))
 
 
-def describe(df: DataFrame, key: str, title: str, names: Column, mats: Column, whole: bool = False) -> DataFrame:
+def describe(df: DataFrame, key: str, title: str, names: Column, mats: Column, whole: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(k, words, figs, mats, names): what a headline names; null and blank headlines are left out.
 
-    ``whole``: nothing is taken off the end of the headline.
+    ``whole``: nothing is taken off the end of the headline.  ``keep``: columns that come along.
     """
     flat = F.trim(F.regexp_replace(F.col(title), r"\s+", " "))
-    b = df.filter(F.length(F.trim(title)) > 0).select(F.col(key).alias("k"), title_words(flat if whole else bare_title(F.col(title))).alias("raw"))
-    b = b.select("k", "raw", F.array_distinct(F.transform("raw", F.lower)).alias("low"))
+    b = df.filter(F.length(F.trim(title)) > 0).select(F.col(key).alias("k"), title_words(flat if whole else bare_title(F.col(title))).alias("raw"), *keep)
+    b = b.select("k", "raw", *keep, F.array_distinct(F.transform("raw", F.lower)).alias("low"))
     raw, low = F.col("raw"), F.col("low")
     none = F.array().cast("array<string>")
     loud = F.size(F.filter(raw, lambda w: w.rlike(r"^\p{Lu}"))) > 0.6 * F.size(raw)
     figs = F.array_distinct(F.filter(raw, lambda w: w.rlike(r"^\d+(?:[.,]\d+)*$")))
     shaped = F.transform(F.filter(raw, lambda w: w.rlike(_MATERIAL) & ~w.rlike(_PROCESS) & w.rlike(r"[a-z\d]")), F.lower)
     own = F.transform(F.filter(raw, lambda w, i: (i > 0) & w.rlike(r"^\p{Lu}\p{Ll}{5,}$") & ~F.get(raw, i - 1).rlike(_CAPITAL)), F.lower)
-    return b.select("k", low.alias("words"), figs.alias("figs"), F.array_union(F.filter(low, lambda w: _in(mats, w)), F.when(loud, none).otherwise(shaped)).alias("mats"), F.array_union(F.filter(low, lambda w: (F.length(w) >= 6) & _in(names, w)), F.when(loud, none).otherwise(own)).alias("names"))
+    return b.select("k", *keep, low.alias("words"), figs.alias("figs"), F.array_union(F.filter(low, lambda w: _in(mats, w)), F.when(loud, none).otherwise(shaped)).alias("mats"), F.array_union(F.filter(low, lambda w: (F.length(w) >= 6) & _in(names, w)), F.when(loud, none).otherwise(own)).alias("names"))
 
 
 def _sorts() -> list[Column]:
     """The composite sort keys: figures, materials, firm (from its start or its end) and wording, each leading in some order."""
     join = lambda c: F.array_join(F.array_sort(F.col(c)), " ")
     longest = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
-    rest = F.substring(F.array_join(F.array_sort(F.array_except(F.filter("words", lambda w: F.length(w) > 4), "names"), longest), " "), 1, 24)
+    rest = F.substring(F.array_join(F.array_sort(F.array_except(F.filter("words", lambda w: F.length(w) > 4), "names"), longest), " "), 1, 20)
     figs, mats = join("figs"), join("mats")
     name = F.coalesce(F.get(F.array_sort("names"), F.lit(0)), F.lit(""))
-    parts = [(figs, mats, name, rest), (figs, F.substring(name, 1, 3), rest), (name, mats, rest), (mats, rest, figs), (F.reverse(F.substring(name, -5, 5)), rest, figs), (rest, name, figs)]
+    parts = [(figs, mats, name, rest), (figs, F.substring(name, 1, 3), rest), (name, mats, rest), (mats, F.reverse(F.substring(name, -5, 5)), rest), (rest, F.substring(name, 1, 3), figs)]
     return [F.concat_ws("\t", F.lit(str(i)), *p) for i, p in enumerate(parts)]
 
 
@@ -106,28 +109,37 @@ def _bits(words: Column) -> Column:
 
 
 def _signed(df: DataFrame, side: int) -> DataFrame:
-    """Rows with what the sliding window needs: signatures of the wording and of the ends of the names."""
+    """Rows with what the sliding window needs: sort keys, signatures of the wording, of the ends of the names, of figures and of materials.
+
+    A listing's figures must all be among the article's, its materials among the article's words.
+    """
     ends = F.flatten(F.transform("names", lambda w: F.array(F.substring(w, 1, 3), F.concat(F.lit("~"), F.substring(w, -3, 3)))))
-    return df.select(F.lit(side).cast("tinyint").alias("side"), "k", "words", "figs", "mats", "names", _bits(F.col("words")).alias("sig"), _bits(ends).alias("who"))
+    words = _bits(F.col("words"))
+    return df.select("*", F.array(*_sorts()).alias("keys"), F.lit(side).cast("tinyint").alias("side"), words.alias("sig"), _bits(ends).alias("who"), _bits(F.col("figs")).alias("fig"), (words if side == 0 else _bits(F.col("mats"))).alias("mat"))
+
+
+_SIGNS = ("sig", "who", "fig", "mat")
 
 
-def window_pairs(order: np.ndarray, side: np.ndarray, sig: np.ndarray, who: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def window_pairs(order: np.ndarray, side: np.ndarray, signs: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (article, listing) of sorted rows at most ``width`` apart, of one order, whose signatures allow a match."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sig, who = signs["sig"], signs["who"]
     weight = np.bitwise_count(sig).astype(np.int64)
     for d in range(1, width + 1):
         i = np.flatnonzero((side[:-d] != side[d:]) & (order[:-d] == order[d:]))
-        j = i + d
-        named = (who[i] == 0) | (who[j] == 0) | (who[i] & who[j] != 0)
-        common = np.bitwise_count(sig[i] & sig[j]) * 2.5 >= np.minimum(weight[i], weight[j])
-        i, j = i[named & common], j[named & common]
-        left.append(np.where(side[i] == 0, i, j))
-        right.append(np.where(side[i] == 0, j, i))
+        a, b = np.where(side[i] == 0, i, i + d), np.where(side[i] == 0, i + d, i)
+        ok = ((signs["fig"][b] & ~signs["fig"][a]) == 0) & ((signs["mat"][b] & ~signs["mat"][a]) == 0)
+        a, b = a[ok], b[ok]
+        named = (who[a] == 0) | (who[b] == 0) | (who[a] & who[b] != 0)
+        common = np.bitwise_count(sig[a] & sig[b]) * 3.0 >= np.minimum(weight[a], weight[b])
+        left.append(a[named & common])
+        right.append(b[named & common])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
-    return tuple(t.column(c).to_numpy() for c in ("o", "side", "k")) + tuple(t.column(c).to_numpy().view(np.uint64) for c in ("sig", "who"))
+def _columns(t: pa.Table) -> tuple:
+    return *(t.column(c).to_numpy() for c in ("o", "side", "k")), {c: t.column(c).to_numpy().view(np.uint64) for c in _SIGNS}
 
 
 def neighbours(both: DataFrame) -> DataFrame:
@@ -136,10 +148,10 @@ def neighbours(both: DataFrame) -> DataFrame:
     All orders are one sorted run.  Each partition also hands on its first and last WINDOW rows, two for each
     partition and order at most, which one task compares across the edges.
     """
-    keyed = both.select(F.posexplode(F.array(*_sorts())).alias("o", "s"), "side", "k", "sig", "who")
+    keyed = both.select(F.posexplode("keys").alias("o", "s"), "side", "k", *_SIGNS)
     parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = keyed.repartitionByRange(parts, "s", "side", "k").sortWithinPartitions("s", "side", "k").select(F.col("o").cast("tinyint").alias("o"), "side", "k", "sig", "who")
-    names = ["ak", "lk", "part", "row", "o", "side", "k", "sig", "who"]
+    run = keyed.repartitionByRange(parts, "s", "side", "k").sortWithinPartitions("s", "side", "k").select(F.col("o").cast("tinyint").alias("o"), "side", "k", *_SIGNS)
+    names = ["ak", "lk", "part", "row", "o", "side", "k", *_SIGNS]
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, tail, head = TaskContext.get().partitionId(), 0, None, 0
@@ -150,11 +162,11 @@ def neighbours(both: DataFrame) -> DataFrame:
                 yield _edge(t.slice(0, keep), part, seen)
             joined = pa.concat_tables([tail, t]) if tail is not None else t
             old = len(joined) - len(t)
-            o, side, k, sig, who = _columns(joined)
-            i, j = window_pairs(o, side, sig, who, WINDOW)
+            o, side, k, signs = _columns(joined)
+            i, j = window_pairs(o, side, signs, WINDOW)
             fresh = np.maximum(i, j) >= old
             ids = np.unique(np.stack([k[i[fresh]], k[j[fresh]]], 1), axis=0) if fresh.any() else np.zeros((0, 2), np.int64)
-            none = [pa.nulls(len(ids), x) for x in (pa.int32(), pa.int64(), pa.int8(), pa.int8(), pa.int64(), pa.int64(), pa.int64())]
+            none = [pa.nulls(len(ids), x) for x in (pa.int32(), pa.int64(), pa.int8(), pa.int8(), *[pa.int64()] * 5)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), *none], names)
             seen += len(t)
             tail = joined.slice(max(0, len(joined) - WINDOW))
@@ -164,22 +176,22 @@ def neighbours(both: DataFrame) -> DataFrame:
 
     def _edge(t: pa.Table, part: int, row: int) -> pa.RecordBatch:
         n = len(t)
-        own = [t.column(c).combine_chunks() for c in ("o", "side", "k", "sig", "who")]
+        own = [t.column(c).combine_chunks() for c in ("o", "side", "k", *_SIGNS)]
         return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), *own], names)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).sort_by([("part", "ascending"), ("row", "ascending")])
-        o, side, k, sig, who = _columns(t)
+        o, side, k, signs = _columns(t)
         part, row = t.column("part").to_numpy().astype(np.int64), t.column("row").to_numpy()
         # places that leave a gap of WINDOW where a partition's middle is left out
         gap = np.concatenate([[0], np.where((part[1:] == part[:-1]) & (row[1:] != row[:-1] + 1), WINDOW, 0)]) if len(part) else np.zeros(0, np.int64)
         place = np.arange(len(part)) + np.cumsum(gap)
-        i, j = window_pairs(o, side, sig, who, WINDOW)
+        i, j = window_pairs(o, side, signs, WINDOW)
         ok = (part[i] != part[j]) & (np.abs(place[i] - place[j]) <= WINDOW)
         yield pa.RecordBatch.from_arrays([pa.array(k[i[ok]]), pa.array(k[j[ok]])], ["ak", "lk"])
 
-    out = cut(run.mapInArrow(slide, "ak bigint, lk bigint, part int, row bigint, o tinyint, side tinyint, k bigint, sig bigint, who bigint"))
-    edges = out.filter("part is not null").select("part", "row", "o", "side", "k", "sig", "who").coalesce(1)
+    out = cut(run.mapInArrow(slide, "ak bigint, lk bigint, part int, row bigint, o tinyint, side tinyint, k bigint, sig bigint, who bigint, fig bigint, mat bigint"))
+    edges = out.filter("part is not null").select("part", "row", "o", "side", "k", *_SIGNS).coalesce(1)
     return out.filter("part is null").select("ak", "lk").unionAll(edges.mapInArrow(across, "ak bigint, lk bigint")).distinct()
 
 
@@ -231,17 +243,20 @@ def match(articles: DataFrame, listings: DataFrame, a_key: str, a_title: str, a_
     the same confidence; of equally good titles the one with the least key is taken.  Extra columns of
     either table are ignored, whatever their names.
     """
-    bare = articles.filter(F.length(F.trim(a_title)) > 0).select(F.col(a_key).alias("pos"), bare_title(F.col(a_title)).alias("title"), F.col(a_source).alias("source"), F.col(a_link).alias("link"))
-    bare = bare.select("*", F.xxhash64(F.lower("title")).alias("th"))
-    titles = bare.groupBy("th").agg(F.min(F.struct("pos", "title", "source", "link")).alias("x")).select("th", F.col("x.pos").alias("k"), "x.title", "x.source", "x.link")
+    named = F.when(F.length(F.trim(a_title)) > 0, bare_title(F.col(a_title)))
+    base = articles.select(F.col(a_key).alias("pos"), named.alias("title"), F.xxhash64(canonical_url(F.col(a_link))).alias("u"), canonical_url(F.col(a_link)).isNotNull().alias("has"), F.col(a_source).alias("source"), F.col(a_link).alias("link"))
+    base = cut(base.select("pos", "title", F.when(F.col("title").isNotNull(), F.xxhash64(F.lower("title"))).alias("th"), F.when(F.col("has"), F.col("u")).alias("u"), "source", "link"))
+    titles = base.filter("th is not null").groupBy("th").agg(F.min(F.struct("pos", "title", "source", "link")).alias("x")).select("th", F.col("x.pos").alias("k"), "x.title", "x.source", "x.link")
     titles = cut(titles)
     names, mats = learn_names(titles, "title")
-    a = describe(titles, "k", "title", names, mats).join(titles.select("k", "source", "link"), "k")
-    b = describe(listings, l_key, l_title, names, mats, whole=True).join(listings.select(F.col(l_key).alias("k"), F.col(l_outlet).alias("source"), F.col(l_link).alias("link")).dropDuplicates(["k"]), "k")
-    a, b = cut(a), cut(b)
-    pairs = neighbours(_signed(a, 0).unionAll(_signed(b, 1)))
-    x = pairs.join(a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]), F.col("ak") == F.col("a_k"))
-    x = x.join(b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]), F.col("lk") == F.col("b_k"))
+    told = ("k", "words", "figs", "mats", "names")
+    a = cut(_signed(describe(titles, "k", "title", names, mats, whole=True, keep=("source", "link")), 0))
+    b = listings.select(F.col(l_key).alias("k"), F.col(l_title).alias("title"), F.col(l_outlet).alias("source"), F.col(l_link).alias("link")).dropDuplicates(["k"])
+    b = cut(_signed(describe(b, "k", "title", names, mats, whole=True, keep=("source", "link")), 1))
+    thin = ("keys", "side", "k", *_SIGNS)
+    pairs = neighbours(a.select(*thin).unionAll(b.select(*thin)))
+    x = pairs.join(a.select(*[F.col(c).alias(f"a_{c}") for c in (*told, "source", "link")]), F.col("ak") == F.col("a_k"))
+    x = x.join(b.select(*[F.col(c).alias(f"b_{c}") for c in (*told, "source", "link")]), F.col("lk") == F.col("b_k"))
     figures = (F.size(F.array_except("b_figs", "a_figs")) == 0)
     materials = (F.size(F.array_except("b_mats", "a_words")) == 0)
     firm = _spelt(F.array_except("a_names", "b_words"), F.col("b_words"))
@@ -256,9 +271,6 @@ def match(articles: DataFrame, listings: DataFrame, a_key: str, a_title: str, a_
     named = a.select(F.col("k").alias("ak"), F.array_sort("figs").alias("f"), F.array_sort("mats").alias("m"))
     kin = good.join(best.select("lk", F.col("ak").alias("top"), F.col("confidence").alias("most")), "lk").filter(F.col("confidence") >= F.col("most") - 0.2)
     kin = kin.join(named, "ak").join(named.toDF("top", "tf", "tm"), "top").filter((F.col("f") == F.col("tf")) & (F.col("m") == F.col("tm"))).select("ak", "lk", "confidence")
-    # hashes of title and page of every record, made once
-    base = articles.select(F.col(a_key).alias("pos"), F.when(F.length(F.trim(a_title)) > 0, F.xxhash64(F.lower(bare_title(F.col(a_title))))).alias("th"), canonical_url(F.col(a_link)).alias("u"))
-    base = cut(base.select("pos", "th", F.when(F.col("u").isNotNull(), F.xxhash64("u")).alias("u")))
     copies = base.select("pos", "th").join(titles.select("th", F.col("k").alias("ak")), "th").select("pos", "ak")
     direct = cut(kin.join(copies, "ak").select("pos", "lk", "confidence"))
     # and the records that lead to the same page under another title
