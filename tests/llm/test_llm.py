@@ -59,7 +59,8 @@ def test_segment_index_finds_all_pairs_of_bounded_edit_distance(spark):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    want = {(i, j) for i, j in itertools.combinations(range(len(titles)), 2) if dist(titles[i].split(), titles[j].split()) <= min(history.EDITS, len(titles[i].split()) // 3, len(titles[j].split()) // 3)}
+    allowed = lambda n: 3 if n >= 9 else 2 if n >= 4 else 1 if n >= 3 else 0
+    want = {(i, j) for i, j in itertools.combinations(range(len(titles)), 2) if dist(titles[i].split(), titles[j].split()) <= allowed(min(len(titles[i].split()), len(titles[j].split())))}
     assert got == want and len(want) > 10
 
 
@@ -83,7 +84,7 @@ def test_batches_against_a_stored_index_equal_all_pairs(spark):
         rows.append((i, rng.randrange(4), " ".join(t) if i % 17 else None, f"http://a.test/{rng.randrange(400)}" if i % 3 else None))
     df = spark.createDataFrame(rows, "pos long, batch_no int, title string, link string")
     whole = {tuple(r) for r in history.pieces(df, "pos", "title", "link").collect()}
-    parts = {tuple(r) for r in history.pieces(df, "pos", "title", "link", "batch_no").collect()}
+    parts = {tuple(r) for r in history.pieces(df, "pos", "title", "link", [F.col("batch_no") == i for i in range(4)]).collect()}
     assert whole == parts and len(whole) > 30
     store = history.Store()
     store.add(df.filter("batch_no = 0"), "pos", "title", "link")
@@ -349,9 +350,21 @@ def test_block_max_wand_returns_what_full_scoring_does():
 def test_truncation(spark):
     whole = "The coating was measured again and the semiconductor stayed within bounds. "
     rows = [(i, whole * 3 + f"Run {i} ended.") for i in range(6)]
-    rows += [(10, whole * 2 + "After the run the semic"), (11, whole + "and so on…"), (12, whole + "It was [+20 chars]"), (13, whole + "\nKeywords: coating, bounds"), (14, whole + "\n© 2024 Firm semicon"), (15, whole + "\nhttps://a.test/doc/12"), (16, None), (17, ""), (18, " \n "), (19, whole + "\n[3] Author, Journal, 4, 5 (2020)"), (20, whole + "\n[3] Author, Journ"), (21, "短い文である。"), (22, "短い文であ")]
+    rows += [(10, whole * 2 + "After the run the semic"), (11, whole + "and so on…"), (12, whole + "It was [+20 chars]"), (13, whole + "\nKeywords: coating, bounds"), (14, whole + "\n© 2024 Firm semicon"), (15, whole + "\nhttps://a.test/doc/12"), (16, None), (17, ""), (18, " \n "), (19, whole + "\n[3] Author, Journal, 4, 5 (2020)"), (20, whole * 2 + "Again the coating was"), (21, "短い文である。"), (22, "短い文である。次の文は")]
+    sound = ["Headline without full stop about coatings", "- one\n- two\n- three", whole + "\nYours sincerely\nMaria Rossi", "Total = 12 kg", "def f(x):\n    return x + 1", whole + "Seen at https://a.test/x", "Dr. Rossi wins the prize"]
+    rows += [(30 + i, t) for i, t in enumerate(sound)]
+    rows += [(50 + i, (f"{'abcdefghij'[i]}{i} " * 40)[: 90 - i % 2] + " the coating was measured"[: 10 + i % 2]) for i in range(5)]  # a field limit of 100
+    rows += [(60, " " * 80 + whole + "Again the")]
     df = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string").withColumn("line", F.lit(0))
-    assert {r.doc_id for r in truncation.found(df).collect()} == {10, 11, 12, 14, 20, 22}
+    got = {r.doc_id: r.why for r in truncation.detect(df, "doc_id", "text").filter("cut").collect()}
+    assert got == {10: "prefix", 11: "mark", 12: "mark", 14: "prefix", 20: "open", 22: "open", 60: "open"} | {k: got.get(k) for k in range(50, 55)}
+    assert all(got[k] in ("limit", "prefix") for k in range(50, 55))
     r = truncation.rates(df).first()
-    assert (r["n"], r["n_cut"]) == (16, 6)
+    assert (r["n"], r["n_cut"]) == (len(rows) - 3, 12)
     assert truncation.found(df.limit(0)).count() == 0
+
+
+def test_trie_counts_what_lies_below_a_final_token(spark):
+    words = spark.createDataFrame([("semiconductor", 5), ("seminar", 2), ("se", 9), ("other", 4)], "w string, n long")
+    finals = spark.createDataFrame([("se",), ("semi",), ("semic",), ("seminar",), ("x",), ("o",)], "w string")
+    assert {tuple(r) for r in truncation.trie(words, finals).collect()} == {("se", 7), ("semi", 7), ("semic", 5), ("o", 4)}

@@ -48,8 +48,8 @@ def _key(words: Column) -> Column:
 
 
 def bound(n: Column) -> Column:
-    """Word edits that a title of n words may have: a third of its words, EDITS at most; of two titles, the shorter one's count."""
-    return F.least(F.lit(EDITS), F.floor(n / 3)).cast("int")
+    """Word edits that a title of n words may have, fewer in short ones; of two titles, the shorter one's count."""
+    return F.when(n >= 9, EDITS).when(n >= 4, 2).when(n >= 3, 1).otherwise(0)
 
 
 def described(df: DataFrame, key: str, title: str, link: str | None = None) -> DataFrame:
@@ -190,24 +190,16 @@ class Store:
         drop(rows)
         return edges
 
-    def pieces(self) -> DataFrame:
-        """(k, piece): the least key of the piece of each record that has a fellow."""
-        edges = self.edges[0]
-        for e in self.edges[1:]:
-            edges = edges.unionAll(e)
-        return components(edges).select(F.col("node").alias("k"), F.col("root").alias("piece"))
-
-
-def pieces(df: DataFrame, key: str, title: str, link: str, batch: str | None = None) -> DataFrame:
-    """(k, piece): the least key of each row's piece; batches, in order of their number, are added one by one."""
+    def pieces(df: DataFrame, key: str, title: str, link: str, arrivals: list[Column] | None = None) -> DataFrame:
+    """(k, piece): the least key of each row's piece; ``arrivals`` tell which rows come together, in order."""
     store = Store()
-    numbers = [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()] if batch else [None]
-    for n in numbers or [None]:
-        store.add(df.filter(F.col(batch).eqNullSafe(n)) if batch and numbers else df, key, title, link)
+    for part in arrivals or [F.lit(True)]:
+        store.add(df.filter(part), key, title, link)
     return store.pieces()
 
 
 def found(article: DataFrame) -> DataFrame:
-    p = pieces(article, "pos", "title", "link", "batch_no").filter("k <> piece")
-    new = article.filter("batch_no >= 1").select("pos")
-    return p.join(new, p.k == new.pos).select(F.col("piece").alias("pos_a"), F.col("k").alias("pos_b")).distinct()
+    """The accepted history is indexed, then what is new arrives: it goes through the stored index, not through history."""
+    new = F.col("batch_no") >= 1
+    p = pieces(article, "pos", "title", "link", [~F.coalesce(new, F.lit(False)), F.coalesce(new, F.lit(False))]).filter("k <> piece")
+    return p.join(article.filter(new).select("pos"), F.col("k") == F.col("pos")).select(F.col("piece").alias("pos_a"), F.col("k").alias("pos_b")).distinct()
