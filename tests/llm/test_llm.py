@@ -135,11 +135,24 @@ def test_mojibake_round_trip(enc, text):
         assert mojibake.repair(twice) == text
 
 
-@pytest.mark.parametrize("text", [None, "", "plain", "SEÇÃO DE INOVAÇÃO à 5 °C", "É così – “bene” ±2 µm kΩ Å", "膜、密度"])
+@pytest.mark.parametrize("text", [None, "", "plain", "SEÇÃO DE INOVAÇÃO à 5 °C", "É così – “bene” ±2 µm kΩ Å", "膜、密度", "Институт физики, Москва", "Пермь University", "мир и труд", "Гёте в Веймаре", "Ελλάδα και kΩ", "한국어 연구소", "שלום עולם", "مرحبا بالعالم", "done 😀 ok", "── total ──", "CAFÉ\xa0» été", "Łódź, Škoda, Győr"])
 def test_sound_text_is_left_alone(text):
     assert not mojibake.garbled(text) and mojibake.repair(text) == text
 
 
+@pytest.mark.parametrize("text", ["Привет, мир", "😀 done", "שלום עולם", "Ελλάδα", "한국어"])
+def test_garbled_text_of_other_scripts_is_restored(text):
+    bad = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in text.encode())
+    assert mojibake.garbled(bad) and mojibake.repair(bad) == text
+
+
+def test_any_number_of_layers():
+    text = "déjà vu à 5 °C"
+    for _ in range(6):
+        text = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in text.encode())
+    assert mojibake.repair(text) == "déjà vu à 5 °C"
+
+
 def test_mojibake_rows(spark):
     df = spark.createDataFrame([(1, "Ã©tÃ©", None, "k"), (2, None, "a � b", None), (2, None, "a � b", None), (3, "", "fine", "")], "pos long, title string, summary string, k string")
     assert sorted(tuple(r) for r in mojibake.found(df).collect()) == [(1, "title"), (2, "summary")]

@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 
 #: Wrong encodings that text of these languages is commonly read with, UTF-8 being meant.
 LEGACY = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859-15", "koi8_r", "cp866")
-#: Single-byte pairs (read as, meant) that leave letters of a foreign script behind.
-SINGLE = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("iso8859-7", "cp1252"), ("cp866", "cp850"))
-MAX_LAYERS = 4
-
-#: Characters that none of the corpus's languages and none of its symbols use.
-ODD = re.compile("[\x7f-\x9f�Ѐ-ԯ─-▟֐-߿]")
+#: Single-byte pairs (read as, meant) that leave letters of another script inside words.
+SINGLE = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp850"))
+
+#: Bytes 0x80 to 0xBF as latin-1 and cp1252 show them.
+_TAIL = "\x80-\xbfŒœŠšŸŽžƒˆ˜‚„†‡‰‹›‘’“”•–—€™"
+#: Characters that no text has but by accident, and box drawing that touches a letter.
+ODD = re.compile("[\x7f-\x9f�]|(?<=[^\\W\\d_])[─-▟]|[─-▟](?=[^\\W\\d_])")
+#: Letters of two scripts in one word; a Cyrillic letter alone, with no Cyrillic word beside it; one before a sign.
+MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ԯ]|[Ѐ-ԯ][A-Za-zÀ-ɏ]|(?<![Ѐ-ԯ])(?<![Ѐ-ԯ] )[Ѐ-ԯ](?![Ѐ-ԯ])(?! [Ѐ-ԯ])|[Ѐ-ԯ][†‡€‰¤¦§©®±µ¶·‚„ˆ]|вЂ[^\\s]")
 #: A letter that opens a multi-byte sequence when UTF-8 is read as a single-byte encoding, and what may follow it.
-PAIR = re.compile("[\xc2\xc3\xc5\xe2\xe3\xce\xcf¬√][\x80-\xbfŒœŠšŸŽžƒˆ˜–-›€™∞\xc4-\xff]|√[^\x00-\x7f]|‚Ä")
-SUSPECT = re.compile(f"{ODD.pattern}|{PAIR.pattern}|[\xe4-\xe9][\x80-\xbfŒ-ƒˆ˜–-›€™]{{2}}")
-_PLAUSIBLE = re.compile("[ˆ˜\x20-\x7e\xa0-ɏΑ-ω‐-⁄⁴-ₜ₠-₿℀-⋿■-◿　-ヿ㐀-鿿＀-￯]")
+PAIR = re.compile(f"[\xc2\xc3\xc5\xe2\xe3\xce\xcf¬√][\x80-\xbfŒœŠšŸŽžƒˆ˜–-›€™∞\xc4-\xff]|√[^\x00-\x7f]|‚Ä|(?:[\xd0\xd1\xd7\xd8\xd9][{_TAIL}]){{2}}|\xf0[{_TAIL}]{{3}}|[\xea-\xed][{_TAIL}]{{2}}")
+SUSPECT = re.compile(f"[\x7f-\x9f�Ѐ-ԯ─-▟]|{PAIR.pattern}|[\xe4-\xe9][\x80-\xbfŒ-ƒˆ˜–-›€™]{{2}}")
+_PLAUSIBLE = re.compile("[ˆ˜\x20-\x7e\xa0-ɏΆ-ώЁ-џא-תء-ي‐-⁄⁴-ₜ₠-₿℀-⋿■-◿　-ヿ㐀-鿿가-힣＀-￯\U0001f300-\U0001faff]")
 
 
 def _byte(ch: str, encoding: str) -> int | None:
@@ -52,8 +55,8 @@ def _table(encoding: str) -> tuple[re.Pattern, dict[str, int]]:
 
 
 def cost(text: str) -> int:
-    """Garbling cost: characters no language here uses, and sequences that a wrong reading of UTF-8 leaves."""
-    return 4 * len(ODD.findall(text)) + 3 * len(PAIR.findall(text)) + sum(1 for _ in re.finditer("[a-z\xdf-\xf6][\xc0-\xd6∀-⋿]", text))
+    """Garbling cost, whatever the language: stray characters, words of two scripts, and sequences that a wrong reading of UTF-8 leaves."""
+    return 4 * len(ODD.findall(text)) + 4 * len(MIXED.findall(text)) + 3 * len(PAIR.findall(text)) + sum(1 for _ in re.finditer("[a-z\xdf-\xf6][\xc0-\xd6∀-⋿]", text))
 
 
 def _decode(text: str, encoding: str) -> str:
@@ -69,25 +72,27 @@ def _decode(text: str, encoding: str) -> str:
     return pattern.sub(one, text)
 
 
-_FOREIGN = re.compile("[Ͱ-ԯ]")
+_BOTH = re.compile("(?=[^\\W\\d_]*[A-Za-zÀ-ɏ])(?=[^\\W\\d_]*[Ѐ-ԯ])[^\\W\\d_]+|(?<![Ѐ-ԯ])(?<![Ѐ-ԯ] )[Ѐ-ԯ](?![Ѐ-ԯ])(?! [Ѐ-ԯ])")
+_FOREIGN = re.compile("[Ѐ-ԯ]")
 
 
 def _single(text: str, read: str, meant: str) -> str:
+    """Letters of another script taken back, in words that have letters of two scripts or are one such letter."""
+
     def one(m: re.Match) -> str:
         try:
             return m.group().encode(read).decode(meant)
         except UnicodeError:
             return m.group()
 
-    return _FOREIGN.sub(one, text)
+    return _BOTH.sub(lambda w: _FOREIGN.sub(one, w.group()), text)
 
 
 def repair(text: str | None) -> str | None:
     """The text as it was meant, as far as it can be restored; text without signs of garbling is returned as it is."""
     if not text or text.isascii() or not SUSPECT.search(text):
         return text
-    for _ in range(MAX_LAYERS):
-        now = cost(text)
+    while now := cost(text):  # a layer at a time, as long as the cost drops
         tries = [_decode(text, e) for e in LEGACY] + [_single(text, *p) for p in SINGLE if re.search("[Ѐ-ԯ]", text)]
         best = min(tries, key=cost)
         if cost(best) >= now:
@@ -100,8 +105,7 @@ def garbled(text: str | None) -> bool:
     """Whether the text holds, in whole or in part, characters of a wrong encoding, restorable or not."""
     if not text or text.isascii() or not SUSPECT.search(text):
         return False
-    foreign = len(re.findall("[Ѐ-ԯ]", text))
-    if "�" in text or re.search("[\x80-\x9f═-╬]", text) or 0 < foreign < 0.3 * len(text):
+    if ODD.search(text) or MIXED.search(text):
         return True
     return repair(text) != text
 
