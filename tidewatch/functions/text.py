@@ -6,10 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query parameters that only track readers.
-TRACKING_PARAMS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "ref_src", "source", "mc_cid", "mc_eid", "_ga", "igshid", "yclid", "msclkid")
+TRACKING_PARAMS = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content",
+    "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "igshid",
+    "_ga", "yclid", "msclkid", "spm",
+)
 #: Words that tell a research organisation, and endings that tell a company.
-LAB_WORDS = ("university", "universit", "institute", "institut", "college", "laboratory", "laborator", "research center", "cnrs", "school of", "academy")
-COMPANY_WORDS = (" inc", " ltd", " gmbh", " corp", " ag ", " sa ", " llc", " co.", " s.p.a", " bv", " kk", " oy")
+LAB_WORDS = (
+    "university", "université", "universidad", "universität", "universiteit", "universita",
+    "institute", "institut", "instituto",
+    "academy", "académie", "akademie", "academia",
+    "college",
+    "school of", "école", "escola",
+    "laboratory", "laboratoire", "laboratorio",
+    "national center", "national centre", "centre national", "centro nacional",
+    "research center", "research centre", "centre de recherche",
+    "polytechnic", "politecnico", "polytechnique",
+    "fraunhofer", "helmholtz", "max planck", "leibniz", "cnrs", "inserm", "inria",
+    "synchrotron", "observatory", "observatoire",
+    "hochschule",
+    " epfl ", " ethz ", " mit ", " caltech ", " kaist ",
+)
+COMPANY_WORDS = (
+    " gmbh", " ag ", " inc", " inc.", " ltd", " ltd.", " corp", " corp.", " llc",
+    " s.a.", " s.a", " b.v.", " bv", " co.", " k.k.", " pty", " s.r.l.", " s.p.a.",
+    " sa ", " plc", " ab ", " oy",
+    " technologies", " systems", " industries", " manufacturing",
+    " coatings", " materials",
+)
 
 
 def text(c: str | Column) -> Column:
@@ -54,10 +78,6 @@ def domain(url: str | Column) -> Column:
     return F.coalesce(F.lower(F.get(F.split(text(url), "/"), F.lit(2))), F.lit("unknown"))
 
 
-def query_key(q: str | Column, source: str | Column) -> Column:
-    return F.concat(F.substring(text(q), 1, 200), F.lit("|||"), text(source))
-
-
 def cjk_share(t: str | Column) -> Column:
     """Share of characters that are CJK, kana or full-width; 0 for an empty text."""
     x = text(t)
@@ -109,16 +129,43 @@ def parse_llm(raw: str | Column) -> Column:
     return F.struct(text(best["tldr"]).alias("tldr"), items.alias("retained"))
 
 
+#: What an executive summary is cut at, and how it may introduce itself.
+SUMMARY_ENDS = r"(?s)(?:```|\{\s*\"(?:tldr|retained)\").*$"
+
+
 def clean_summary(t: str | Column) -> Column:
-    """Executive summary: cut at the first fence or JSON, without a word of introduction."""
-    cut = F.trim(F.regexp_replace(text(t), r"(?s)(?:```|\{\s*\").*$", ""))
+    """Executive summary: cut at the first fence or at the scorer's JSON, without a line of introduction."""
+    cut = F.trim(F.regexp_replace(text(t), SUMMARY_ENDS, ""))
     return F.trim(F.regexp_replace(cut, r"(?i)^(?:here is|here's|voici)[^:\n]{0,80}:\s*", ""))
 
 
+def score_label(score: str | Column) -> Column:
+    """Label of a score, empty where there is none."""
+    s = F.col(score) if isinstance(score, str) else score
+    return F.when(s == 5, "major").when(s == 4, "important").when(s == 3, "useful").when(s == 2, "marginal").when(s == 1, "off topic").otherwise("")
+
+
+def duration(minutes: str | Column) -> Column:
+    """'1 h 05' or '12 min' of a number of minutes."""
+    m = F.round(F.col(minutes) if isinstance(minutes, str) else minutes).cast("bigint")
+    return F.when(m >= 60, F.format_string("%d h %02d", F.floor(m / 60), m % 60)).otherwise(F.format_string("%d min", m))
+
+
+def masked(secret: str | Column) -> Column:
+    """First and last four characters of a secret of more than twelve, else stars alone."""
+    x = text(secret)
+    return F.when(F.length(x) > 12, F.concat(F.substring(x, 1, 4), F.lit("…"), F.substring(x, -4, 4))).when(x == "", "").otherwise("****")
+
+
+def is_email(t: str | Column) -> Column:
+    """Whether a text is one or more mail addresses, with commas between them."""
+    return text(t).rlike(r"^\s*[^@\s,]+@[^@\s,]+\.[^@\s,]+(?:\s*,\s*[^@\s,]+@[^@\s,]+\.[^@\s,]+)*\s*$")
+
+
 def classify_actor(name: str, sources: str) -> Column:
     """research_org or company, by words of the name, else by where it was seen."""
-    n = F.concat(F.lit(" "), normalize_actor(name), F.lit(" "))
-    src = F.coalesce(F.transform(F.col(sources), F.lower), F.array().cast("array<string>"))
+    n = F.concat(F.lit(" "), F.lower(text(name)), F.lit(" "))
+    src = F.coalesce(F.col(sources), F.array().cast("array<string>"))
     has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(n, w))
     research = F.array_contains(src, "openalex") & ~F.array_contains(src, "patents")
     return F.when(has(LAB_WORDS), "research_org").when(has(COMPANY_WORDS), "company").when(research, "research_org").otherwise("company")
@@ -153,8 +200,3 @@ def inverted_text(index: str | Column, n: int = 600) -> Column:
 def mailto(address: str, subject: str | Column, body: str | Column) -> Column:
     enc = lambda c: F.replace(F.replace(F.url_encode(text(c)), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
     return F.concat(F.lit(f"mailto:{address}?subject="), enc(subject), F.lit("&body="), enc(body))
-
-
-def moment(t: str | Column) -> Column:
-    """Timestamp of an ISO-like text in UTC, null where it isn't one."""
-    return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text(t), "Z$", "+00:00"), r"^(\d{4}-\d\d-\d\d) (\d\d:\d\d:\d\d)$", "$1T$2+00:00"))

@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import text
 
 #: Markers of a page that isn't the page asked for.
-BLOCK_MARKERS = ("unusual traffic", "captcha", "are you a robot", "access denied", "consent.google", "before you continue", "enable javascript", "too many requests", "request blocked", "verify you are human")
+BLOCK_MARKERS = (
+    "captcha",
+    "are you a human",
+    "verify you are not a bot",
+    "rate limit exceeded",
+    "too many requests",
+    "unusual traffic from your computer",
+    "automated queries",
+    "access denied",
+    "blocked by",
+    "cloudflare ray id",
+)
 
 
 def recent(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:

@@ -22,13 +22,13 @@ def prompts(df: DataFrame) -> DataFrame:
 
 
 def answers(df: DataFrame, scorer: Scorer, cfg: Config = DEFAULT, depth: int = 2) -> DataFrame:
-    """(low, high, raw): answers of the scorer for batches; a batch that fails is halved up to ``depth`` times, then given up."""
+    """(ids, raw): answers of the scorer for batches; a batch that fails is halved up to ``depth`` times, then given up."""
 
-    def ask(batch: list[tuple[int, str]], left: int) -> Iterator[tuple[int, int, str]]:
+    def ask(batch: list[tuple[int, str]], left: int) -> Iterator[tuple[list[int], str]]:
         try:
             raw = scorer(batch)
             if raw and "retained" in raw:
-                yield batch[0][0], batch[-1][0], raw
+                yield [i for i, _ in batch], raw
                 return
         except Exception:  # noqa: BLE001 - a failed batch is split, then rejected
             pass
@@ -40,9 +40,9 @@ def answers(df: DataFrame, scorer: Scorer, cfg: Config = DEFAULT, depth: int = 2
         for f in frames:
             rows = sorted(zip(f["pos"].tolist(), f["prompt"].tolist()))
             out = [x for k in range(0, len(rows), cfg.batch_size) for x in ask(rows[k : k + cfg.batch_size], depth)]
-            yield pd.DataFrame(out, columns=["low", "high", "raw"])
+            yield pd.DataFrame(out, columns=["ids", "raw"])
 
-    return prompts(df).mapInPandas(run, "low bigint, high bigint, raw string")
+    return prompts(df).mapInPandas(run, "ids array<bigint>, raw string")
 
 
 def score(df: DataFrame, scorer: Scorer, cfg: Config = DEFAULT) -> DataFrame:
@@ -50,8 +50,8 @@ def score(df: DataFrame, scorer: Scorer, cfg: Config = DEFAULT) -> DataFrame:
 
     Ids outside the batch that was asked for are ignored; of several entries for a row the best one counts.
     """
-    a = answers(df, scorer, cfg).select("low", "high", F.explode(parse_llm("raw")["retained"]).alias("e"))
-    kept = a.filter(F.col("e.id").between(F.col("low"), F.col("high")) & (F.col("e.score") >= cfg.min_score))
+    a = answers(df, scorer, cfg).select("ids", F.explode(parse_llm("raw")["retained"]).alias("e"))
+    kept = a.filter(F.array_contains("ids", F.col("e.id").cast("bigint")) & (F.col("e.score") >= cfg.min_score))
     best = kept.groupBy(F.col("e.id").cast("bigint").alias("pos")).agg(F.max_by("e", F.struct("e.score", "e.confidence")).alias("e"))
     plain = df.drop("score", "confidence", "justification", "tags")
     return plain.join(best, "pos").select(*plain.columns, "e.score", "e.confidence", "e.justification", "e.tags")
