@@ -117,6 +117,18 @@ def test_language_cases(spark):
     df = spark.createDataFrame(rows, "pos long, title string, summary string, lang string")
     assert {tuple(r) for r in language.found(df, samples).collect()} == {(2, "en"), (2, "fr"), (3, "fr"), (6, "en")}
     assert language.found(df.limit(0), samples).count() == 0
+    seg = language.stretches(df, samples).filter("pos = 2").orderBy("field", "start").collect()
+    text = rows[1][2]
+    assert [(r.field, r.lang) for r in seg] == [("summary", "en"), ("summary", "fr"), ("title", "en")]
+    assert text[seg[0].start : seg[0].end] == en[1] and text[seg[1].start : seg[1].end] == f"{fr[0]} {fr[1]}" and all(0 < r.confidence <= 1 for r in seg)
+
+
+def test_every_language_keeps_its_samples(spark):
+    samples = spark.read.parquet(f"{DATA}/lang_sample.parquet")
+    many = samples.unionByName(samples.filter("lang = 'en'").crossJoin(spark.range(60)).select(samples.columns)).unionByName(samples)
+    ja = samples.filter("lang = 'ja'").first()["text"]
+    df = spark.createDataFrame([(1, ja, None, "en")], "pos long, title string, summary string, lang string")
+    assert [tuple(r) for r in language.found(df, many).collect()] == [(1, "ja")]
 
 
 # 3 ---------------------------------------------------------------------------------------------------------
@@ -340,6 +352,14 @@ def test_leakage(spark):
     df = spark.createDataFrame([(i, " ".join(d), 0) for i, d in enumerate(docs)] + [(90, None, 0), (91, "", 0)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, None), (4, "too short")], "item_id long, text string")
     assert {tuple(r) for r in leakage.found(df, items).collect()} == {(0, 1), (1, 1), (5, 1), (5, 2)}
+    named = items.select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("item_id"), "text")
+    assert {tuple(r) for r in leakage.found(df, named).collect()} == {(0, "item-1"), (1, "item-1"), (5, "item-1"), (5, "item-2")}
+    whole = leakage.ITEM_BLOCK
+    leakage.ITEM_BLOCK = 1  # several blocks, one scan
+    plan = leakage.found(df, items)
+    assert {tuple(r) for r in plan.collect()} == {(0, 1), (1, 1), (5, 1), (5, 2)}
+    assert plan._jdf.queryExecution().toString().count("PythonMapInArrow") + plan._jdf.queryExecution().toString().count("MapInArrow") > 0
+    leakage.ITEM_BLOCK = whole
     assert leakage.found(df, items.limit(0)).count() == 0 and leakage.found(df.limit(0), items).count() == 0
 
 

@@ -36,7 +36,8 @@ NICK = {}
 for _line in """alex alexander sasha; ben benjamin; bill will william; bob rob robert; cathy kate katherine; chris christopher; dan daniel; dave david; dick richard rick;
 ed eddie edward ted; ted theodore; liz beth elizabeth lisa; fran frank francis francisco paco; gabi gaby gabriela gabriella; gus gustav; harry henry; hetty henrietta etta; jack john; hans johannes; jim james; joe joseph; klaus nikolaus nick nicolaus;
 len leo leonard; lucy lucie; maggie peggy meg margaret; max maximilian; mike michael; mischa mikhail; nick nicholas; pete peter; pip philippa pippa; sam samuel; steve stephen; sue susan; theo theodore; tom thomas; tony antonio anthony;
-val valja valentin valentine; vicky victoria tori; zach zack zacharias; zenia yevgenia zhenya; isa bella isabella; olli otto ottokar; pino giuseppe beppe""".replace("\n", " ").split(";"):
+val valja valentin valentine; vicky victoria tori; zach zack zacharias; zenia yevgenia zhenya; isa bella isabella; olli otto ottokar; pino giuseppe beppe;
+uschi ulla ursula; kathi kathe katharina; uli ulli rike ulrike; jackie jacqueline; betty elizabeth; ned edward; niko nikolaus; kit christopher; pancho francisco; lenny leonard; hattie henrietta""".replace("\n", " ").split(";"):
     _w = _line.split()
     for _a in _w:
         NICK.setdefault(_a, set()).update(_w)
@@ -49,14 +50,16 @@ def fold(text: str) -> str:
 
 
 def _tokens(name: str) -> list[str]:
+    name = re.sub(r"\b(?:\w\.){1,4}\w?\.?\s*$", lambda m: x if (x := re.sub(r"[.\s]", "", m.group())).lower() in LEGAL else m.group(), name)
     t = re.sub(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ][a-zß-ÿ])", " ", re.sub(r"\b(\w)\.(\w)\.(\w\.?)?", r"\1\2\3 ", name) if re.search(r"\b[SBN]\.\w\.", name) else name)
     return [w for w in re.split(r"[^\w']+", fold(t)) if w]
 
 
-def read(name: str, common: frozenset[str] = frozenset()) -> tuple[str, list[tuple[str, tuple[str, ...]]]]:
+def read(name: str, common: frozenset[str] = frozenset(), trades: frozenset[str] = frozenset()) -> tuple[str, list[tuple[str, tuple[str, ...]]]]:
     """Kind of actor, and readings of the name as (proper word, other words).
 
     ``common``: words of a large share of all names, which are never the proper word: given names, fields.
+    ``trades``: words that tell what a firm does, as learnt from names with a legal form.
     A firm's legal form is kept as the last of the other words, with a leading '='.
     """
     cut = UNIT.sub("", name)
@@ -78,9 +81,9 @@ def read(name: str, common: frozenset[str] = frozenset()) -> tuple[str, list[tup
     if not core:
         return "f", []
     form = tuple(f"={x}" for x in w if x in LEGAL and x not in ("group", "holding"))[-1:]
-    firm = len(core) == 1 or len(core) < len(w) or any(x in TRADES or any(_abbr(x, t) for t in TRADES if len(x) > 3) for x in core)
+    firm = len(core) == 1 or len(core) < len(w) or any(x in trades or any(_abbr(x, t) for t in trades if len(x) > 3) for x in core)
     if firm and core:
-        proper = [x for x in core if x not in TRADES and (x not in common or len(core) == 1) and not any(len(x) > 3 and t.startswith(x) for t in TRADES)] or core[:1]
+        proper = [x for x in core if x not in trades and (x not in common or len(core) == 1) and not any(len(x) > 3 and t.startswith(x) for t in trades)] or core[:1]
         return "f", [(x, tuple(y for y in core if y != x) + form) for x in proper]
     first = re.match(r"\s*([^,]+),", name)
     raw = cut.split()
@@ -94,10 +97,6 @@ def read(name: str, common: frozenset[str] = frozenset()) -> tuple[str, list[tup
     return "p", [(x, tuple(y for y in core if y != x)) for x in proper]
 
 
-#: Trades that follow or precede a firm's proper word.
-TRADES = set("batteries cells ceramics chemicals coatings devices dynamics electronics energy films foils implants industries instruments labs laboratories lasers materials membranes metals nano nanotech nanotechnology optics photonics plasma polymers precision semiconductors sensors solutions surfaces systems technologies technology thin tools vacuum".split())
-
-
 def _abbr(a: str, b: str) -> bool:
     """Whether one word is an abbreviation of the other, by its first letters."""
     return len(min(a, b, key=len)) >= 3 and (a.startswith(b) or b.startswith(a))
@@ -196,12 +195,29 @@ def vague(kind: str, words: tuple[str, ...]) -> bool:
     return not _trade(words) if kind == "f" else kind == "p" and (not words or len(words[0]) <= 2)
 
 
-def common_words(names: DataFrame, name: str, share: float = 0.002, least: int = 30) -> frozenset[str]:
-    """Words of more than ``share`` of all names; there can be at most (words of a name) / ``share`` of them."""
+def learn(names: DataFrame, name: str, share: float = 0.002, least: int = 30, trade_share: float = 0.0005) -> tuple[frozenset[str], frozenset[str]]:
+    """Common words and trades of the distinct names.
+
+    Common words are in more than ``share`` of all names (and ``least`` of them).  A trade stands behind the first
+    word in at least ``trade_share`` of all names, with a legal form among these, and is seldom a first word.  Of
+    either there can be at most (words of a name) / share.
+    """
     n = names.count()
-    letters = F.lower(F.translate(name, "áàâäãåéèêëíìîïóòôöõøúùûüñç", "aaaaaaeeeeiiiioooooouuuunc"))
-    words = names.select(F.explode(F.array_distinct(F.split(letters, r"[^\\p{L}]+"))).alias("w")).groupBy("w").count()
-    return frozenset(r["w"] for r in words.filter((F.col("count") > max(least, share * n)) & (F.col("w") != "")).collect())
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x in b["n"]:
+                w = _tokens(x)
+                legal = any(y in LEGAL for y in w[1:]) and not any(y in UNIVERSITY | INSTITUTE for y in w)
+                out += [(y, i == 0, legal and i > 0) for i, y in enumerate(dict.fromkeys(w))]
+            yield pd.DataFrame(out, columns=["w", "first", "legal"])
+
+    words = names.select(F.col(name).alias("n")).mapInPandas(split, "w string, first boolean, legal boolean")
+    words = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("first"), F.count_if("legal").alias("legal")))
+    common = words.filter(F.col("n") > max(least, share * n)).select("w").collect()
+    trades = words.filter((F.col("legal") >= 1) & (F.col("n") - F.col("first") >= trade_share * n) & (F.col("first") < 0.2 * F.col("n")) & (F.length("w") > 3)).select("w").collect()
+    return frozenset(r["w"] for r in common), frozenset(r["w"] for r in trades) - LEGAL - SMALL - UNIVERSITY - INSTITUTE
 
 
 def _rests(word: str) -> set[str]:
@@ -257,15 +273,17 @@ def links(df: DataFrame, key: str, name: str) -> DataFrame:
     rows = df.filter(F.length(F.trim(name)) > 0).select(F.col(key).alias("k"), F.trim(F.regexp_replace(name, r"\s+", " ")).alias("n"))
     reps = rows.groupBy("n").agg(F.min("k").alias("k"))
 
-    common = common_words(reps, "n")
+    common, trades = learn(reps, "n")
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for n, k in zip(b["n"], b["k"]):
-                kind, readings = read(n, common)
+                kind, readings = read(n, common, trades)
                 for p, rest in readings:
                     out.append((kind + p, k, p, " ".join(rest)))
+                if m := re.fullmatch(r"U\.\s+(\w+)", n):  # a person's initial, or a university
+                    out.append(("u" + fold(m.group(1)), k, fold(m.group(1)), ""))
             yield pd.DataFrame(out, columns=["w", "k", "p", "rest"])
 
     def rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.mojibake import repair
@@ -26,8 +26,8 @@ from tidewatch.llm.mojibake import repair
 CODES = {"en": "en eng english", "fr": "fr fra fre french", "de": "de deu ger german", "es": "es spa spanish", "it": "it ita italian", "pt": "pt por portuguese", "ja": "ja jpn japanese"}
 LABELS = {c: lang for lang, codes in CODES.items() for c in codes.split()}
 PROFILE = 600
-#: Rows of known language the profiles are fitted on, at most; a bound on what reaches the driver.
-SAMPLE = 5000
+#: Rows of each known language that the profiles are fitted on, at most; a bound on what reaches the driver.
+SAMPLE = 1000
 MIN_LEAD = 0.08
 MIN_GRAMS = 5
 #: Entries of a worker's memory of sentences; full, it is emptied.
@@ -39,10 +39,6 @@ _LETTERS = re.compile(f"[^\\W\\d_]+")
 _JA = re.compile(f"[{_CJK}]")
 
 
-def label_of(label: str | None) -> str | None:
-    return LABELS.get(re.split("[-_ ]", (label or "").strip().lower())[0])
-
-
 def masked(sentence: str) -> str:
     """The words of a sentence that can tell its language, in small letters, between single blanks."""
     rest = " ".join(_LETTERS.findall(_NAMED.sub(" ", sentence)))
@@ -103,56 +99,90 @@ class Profiles:
         return [(self.langs[j], float(x)) if g >= MIN_GRAMS else (None, 0.0) for j, x, g in zip(order[:, 0].tolist(), lead.tolist(), grams.tolist())]
 
 
-def sentences(text: str | None) -> list[str]:
-    return [s for s in _SPLIT.split(text) if s and s.strip()] if text else []
+def spans(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of a text, in characters."""
+    out, at = [], 0
+    for m in _SPLIT.finditer(text or ""):
+        out.append((at, m.start()))
+        at = m.end()
+    return [(a, b) for a, b in [*out, (at, len(text or ""))] if (text or "")[a:b].strip()]
 
 
-def detect(df: DataFrame, key: str, fields: list[str], label: str, samples: DataFrame) -> DataFrame:
-    """One row per row of ``df``: key, label (normalised or null), langs, confidences, mixed, doubtful.
+def segments(df: DataFrame, key: str, fields: list[str], samples: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(key, segments, *keep): the stretches of each row, as (field, start, end, lang, confidence).
 
-    ``langs`` are the languages in which a field's sentences are written, most text first, with the mean
-    lead as confidence; empty where no text is long enough to tell, and then the row is never ``doubtful``.
-    ``doubtful``: the label is missing or unknown or isn't among ``langs``.  A sentence whose lead is small
-    takes the language of the rest.  Garbled text is read as it was meant.  Nulls and empty texts say nothing; repeated rows are kept.
+    A stretch is the whole first field, or sentences of a further one that follow each other in one language; start
+    and end count characters of the text as it was meant.  The confidence is the relative lead over the second
+    language, of several sentences the mean.  A sentence whose lead is below MIN_LEAD keeps its low confidence.
+    Sentences too short to tell, nulls and empty texts make no stretch; repeated rows are kept.
     """
-    rows = samples.select("lang", "text").filter("lang is not null and text is not null").orderBy("lang", "text").limit(SAMPLE).collect()
-    profiles = Profiles([(r[0], r[1]) for r in rows])
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    known = samples.select("lang", "text").filter("lang is not null and text is not null").withColumn("n", F.row_number().over(w))
+    profiles = Profiles([(r[0], r[1]) for r in known.filter(F.col("n") <= SAMPLE).orderBy("lang", "text").collect()])
     kind = df.schema[key].dataType.simpleString()
-    cols = [F.col(key).alias("k"), F.col(label).alias("l"), *(F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields))]
+    extra = [f"x{i}" for i in range(len(keep))]
+    cols = [F.col(key).alias("k"), *(F.col(c).alias(x) for c, x in zip(keep, extra)), *(F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields))]
+    one = pa.struct([("field", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, tuple[str | None, float]] = {}
+        first = 1 + len(keep)
         for b in batches:
-            columns = [[repair(t) for t in b.column(i).to_pylist()] for i in range(2, b.num_columns)]
-            rows = [[masked(s) for i, t in enumerate(texts) if t for s in ([t] if i == 0 else sentences(t))] for texts in zip(*columns)]
+            texts = [[repair(t) for t in b.column(first + i).to_pylist()] for i in range(len(fields))]
+            cuts = [[([(0, len(t))] if i == 0 else spans(t)) if t and t.strip() else [] for t in column] for i, column in enumerate(texts)]
+            masks = [[[masked(t[x:y]) for x, y in c] for t, c in zip(column, cut)] for column, cut in zip(texts, cuts)]
             if len(memory) > MEMORY:
                 memory.clear()
-            new = list({s for r in rows for s in r} - memory.keys())
+            new = list({m for column in masks for row in column for m in row} - memory.keys())
             memory.update(zip(new, profiles.classify(new)))
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for r, raw in zip(rows, b.column(1).to_pylist()):
-                said = label_of(raw)
-                score: dict[str, list[float]] = {}
-                weak: list[tuple[str, int]] = []
-                for s in r:
-                    lang, lead = memory[s]
-                    if lang and lead >= MIN_LEAD:
-                        score.setdefault(lang, []).append(lead)
-                    elif lang:
-                        weak.append((lang, lead))
-                if not score and weak:
-                    lang, lead = max(weak, key=lambda x: (x[0] == said, x[1]))
-                    score[lang] = [lead]
-                langs = sorted(score, key=lambda x: (-len(score[x]), -sum(score[x]), x))
-                for o, x in zip(out, (said, langs, [sum(score[x]) / len(score[x]) for x in langs], len(langs) > 1, bool(langs) and said not in langs)):
-                    o.append(x)
-            kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, t) for o, t in zip(out, kinds))], ["k", "label", "langs", "confidences", "mixed", "doubtful"])
-
-    got = df.select(cols).mapInArrow(run, f"k {kind}, label string, langs array<string>, confidences array<double>, mixed boolean, doubtful boolean")
-    return got.withColumnRenamed("k", key)
+            out = []
+            for r in range(b.num_rows):
+                row: list[dict] = []
+                for f, cut, mask in zip(fields, cuts, masks):
+                    leads: list[float] = []
+                    for (x, y), m in zip(cut[r], mask[r]):
+                        lang, lead = memory[m]
+                        if not lang:
+                            continue
+                        if leads and row[-1]["lang"] == lang and (lead >= MIN_LEAD) == (row[-1]["confidence"] >= MIN_LEAD):
+                            leads.append(lead)
+                            row[-1] |= {"end": y, "confidence": sum(leads) / len(leads)}
+                        else:
+                            leads = [lead]
+                            row.append({"field": f, "start": x, "end": y, "lang": lang, "confidence": lead})
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(first)), pa.array(out, pa.list_(one))], ["k", *extra, "segments"])
+
+    kinds = "".join(f", {x} {df.schema[c].dataType.simpleString()}" for c, x in zip(keep, extra))
+    got = df.select(cols).mapInArrow(run, f"k {kind}{kinds}, segments array<struct<field: string, start: int, end: int, lang: string, confidence: double>>")
+    return got.select(F.col("k").alias(key), *(F.col(x).alias(c) for c, x in zip(keep, extra)), "segments")
+
+
+def detect(df: DataFrame, key: str, fields: list[str], label: str, samples: DataFrame) -> DataFrame:
+    """One row per row of ``df``: key, label (normalised or null), segments, langs, mixed, doubtful.
+
+    ``langs`` are the languages of the stretches that are sure (MIN_LEAD); where none is, the language of the
+    surest one.  ``mixed``: more than one.  ``doubtful``: the label is missing or unknown or isn't among ``langs``,
+    or isn't that of any stretch where none is sure; a row without stretches is never doubtful.
+    """
+    rows = segments(df, key, fields, samples, [label])
+    said = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col(label).cast("string"), F.lit("")))), "^([^-_ ]*)", 1)
+    known = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    rows = rows.select(key, F.try_element_at(known, said).alias("label"), "segments")
+    sure = F.array_distinct(F.transform(F.filter("segments", lambda s: s["confidence"] >= MIN_LEAD), lambda s: s["lang"]))
+    best = F.array_max(F.transform("segments", lambda s: F.struct(s["confidence"].alias("c"), s["lang"].alias("l"))))["l"]
+    guess = F.when(F.size("segments") > 0, F.array(best)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("sure", sure).withColumn("langs", F.when(F.size("sure") > 0, F.col("sure")).otherwise(guess))
+    among = F.when(F.size("sure") > 0, F.array_contains("sure", F.col("label"))).otherwise(F.exists("segments", lambda s: s["lang"] == F.col("label")))
+    return rows.select(key, "label", "segments", "langs", (F.size("langs") > 1).alias("mixed"), ((F.size("langs") > 0) & ~F.coalesce(among, F.lit(False))).alias("doubtful"))
 
 
 def found(article: DataFrame, lang_sample: DataFrame) -> DataFrame:
     rows = detect(article, "pos", ["title", "summary"], "lang", lang_sample).filter("mixed or doubtful")
     return rows.select("pos", F.explode("langs").alias("lang")).distinct()
+
+
+def stretches(article: DataFrame, lang_sample: DataFrame) -> DataFrame:
+    """(pos, field, start, end, lang, confidence): the stretches of the articles whose label is doubtful or that are mixed."""
+    rows = detect(article, "pos", ["title", "summary"], "lang", lang_sample).filter("mixed or doubtful")
+    return rows.select("pos", F.inline("segments")).withColumn("confidence", F.round("confidence", 4)).distinct()

@@ -5,14 +5,15 @@ of each.  Every passage of every document is a query.  Weights are divided by th
 of the item can have, so that one threshold, 1, serves all items.  Passages whose upper bounds stay below
 it are skipped in bulk; the rest runs block-max WAND, and what it retrieves is verified by alignment.
 
-The index holds the test items only.  It is built for blocks of ``ITEM_BLOCK`` items, each block shipped to
-the executors on its own, so what is shipped has a fixed bound however many items there are.
+The index holds the test items only.  It is built for blocks of ``ITEM_BLOCK`` items; one scan of the documents
+takes ``SCAN_BLOCKS`` of them, so what is shipped has a fixed bound however many items there are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -29,6 +30,7 @@ PASSAGE = 44
 STRIDE = 22
 BLOCK = 16
 ITEM_BLOCK = 5000
+SCAN_BLOCKS = 10
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
 
@@ -95,16 +97,18 @@ class Index:
             while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
                 k += 1
             if cursors[0][0] == pivot:
-                held = cursors[: k + 1]
-                if sum(self.blocks[t][p // BLOCK] for _, t, p in held) >= 1 and sum(self.lists[t][p][1] for _, t, p in held) >= 1:
-                    out.append(pivot)
-                aim = pivot + 1
+                held, aim = cursors[: k + 1], pivot + 1
+                if sum(self.blocks[t][p // BLOCK] for _, t, p in held) >= 1:
+                    if sum(self.lists[t][p][1] for _, t, p in held) >= 1:
+                        out.append(pivot)
+                else:  # these blocks can't reach 1: on to the first item behind one of them, or that another list has
+                    ends = [self.lists[t][min(len(self.lists[t]), (p // BLOCK + 1) * BLOCK) - 1][0] + 1 for _, t, p in held]
+                    aim = max(aim, min([*ends, *(at for at, _, _ in cursors[k + 1 : k + 2])]))
             else:
                 held, aim = [c for c in cursors[: k + 1] if c[0] < pivot], pivot
             for c in held:
-                posting, p = self.lists[c[1]], c[2]
-                while p < len(posting) and posting[p][0] < aim:
-                    p += 1
+                posting = self.lists[c[1]]
+                p = bisect_left(posting, (aim,), c[2])
                 c[0], c[2] = (posting[p][0], p) if p < len(posting) else (-1, -1)
             cursors = [c for c in cursors if c[0] >= 0]
         return out
@@ -153,7 +157,7 @@ def holds(text: list[str], item: list[str]) -> bool:
 def _scan(index: Index, text: str | None) -> list[int]:
     """Items of the index that the text leaks."""
     words = tokens(text)
-    if len(words) < RUN - RUN // ONE_IN:
+    if len(words) < RUN - RUN // ONE_IN or not len(index.keys):
         return []
     ids = np.fromiter(map(index.vocab.get, words, repeat(-1)), np.int64, len(words))
     terms = index.terms(ids)
@@ -186,33 +190,38 @@ def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str =
     """
     kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    last, blocks = None, []
+    last, scans, blocks = None, [], []
     while True:  # blocks of test items, in the order of their keys
         more = items.filter(F.col(item_key).isNotNull())
         more = more if last is None else more.filter(F.col(item_key) > F.lit(last))
         rows = more.select(item_key, item_text).orderBy(item_key).limit(ITEM_BLOCK).collect()
         if rows:
-            blocks.append(_against(docs, Index([tuple(r) for r in rows]), kind, item_kind))
+            blocks.append(Index([tuple(r) for r in rows]))
             last = rows[-1][0]
+        if blocks and (len(blocks) == SCAN_BLOCKS or len(rows) < ITEM_BLOCK):
+            scans.append(_against(docs, blocks, kind, item_kind))
+            blocks = []
         if len(rows) < ITEM_BLOCK:
             break
-    if not blocks:
+    if not scans:
         return docs.limit(0).select(F.col("k").alias(key), F.lit(None).cast(item_kind).alias("item_id"))
-    return reduce(DataFrame.unionAll, blocks).toDF(key, "item_id")
+    return reduce(DataFrame.unionAll, scans).toDF(key, "item_id")
 
 
-def _against(docs: DataFrame, index: Index, kind: str, item_kind: str) -> DataFrame:
+def _against(docs: DataFrame, blocks: list[Index], kind: str, item_kind: str) -> DataFrame:
+    """One scan of the documents against some blocks of test items."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, found = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t:
-                    mine = _scan(index, t)
+                    mine = [x for index in blocks for x in _scan(index, t)]
                     at += [i] * len(mine)
                     found += mine
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], ["k", "item"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([str(x) for x in found], pa.string())], ["k", "item"])
 
-    return docs.mapInArrow(run, f"k {kind}, item bigint").select("k", F.col("item").cast(item_kind).alias("item"))
+    return docs.mapInArrow(run, f"k {kind}, item string").select("k", F.col("item").cast(item_kind).alias("item"))
 
 
 def found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _lazy("history", "found", "article"),
         "p2_found": _lazy("language", "found", "article", "lang_sample"),
+        "p2_segments": _lazy("language", "stretches", "article", "lang_sample"),
         "p3_found": _lazy("mojibake", "found", "article"),
         "p9_found": _lazy("leakage", "found", "documents", "eval_items"),
         "p10_found": _lazy("truncation", "found", "documents"),
