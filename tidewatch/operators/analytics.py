@@ -28,7 +28,7 @@ def drift(history: DataFrame, run: str, cfg: Config = DEFAULT) -> DataFrame:
 def mentions(df: DataFrame, terms: DataFrame, term: str, blob: Column, key: str = "pos") -> DataFrame:
     """(key, term): terms that a row's blob holds as a substring, once each; terms are a small list, blank blobs hold none."""
     rows = df.select(F.col(key), F.lower(blob).alias("_b"), F.coalesce(F.col("category") == "patent", F.lit(False)).alias("patent")).filter(F.trim("_b") != "")
-    t = F.broadcast(terms.select(F.col(term).alias("term"), F.lower(F.col(term)).alias("_t")).distinct())
+    t = terms.select(F.col(term).alias("term"), F.lower(F.col(term)).alias("_t")).distinct()
     return rows.join(t, F.contains("_b", F.col("_t"))).select(key, "term", "patent")
 
 
@@ -57,13 +57,13 @@ def grid(df: DataFrame, run: Column, name: str, runs: DataFrame) -> DataFrame:
     """Counts of each (run, name), zero where a run has none; ``runs`` is the short list of runs."""
     names = df.select(name).distinct()
     counts = df.groupBy(run.alias("run"), name).agg(F.count(F.lit(1)).alias("total"))
-    return names.crossJoin(F.broadcast(runs)).join(counts, ["run", name], "left").na.fill(0, ["total"])
+    return names.crossJoin(runs).join(counts, ["run", name], "left").na.fill(0, ["total"])
 
 
 def company_floor(df: DataFrame, companies: DataFrame) -> DataFrame:
     """Rows that name a listed company get a score of 4 at least, and the first listed one as a tag if they lack it."""
     rows = df.select("pos", F.lower(F.concat_ws(" ", text("title"), text("summary"))).alias("_b"))
-    c = F.broadcast(companies.select("term", F.col("pos").alias("_p"), F.lower("term").alias("_t")))
+    c = companies.select("term", F.col("pos").alias("_p"), F.lower("term").alias("_t"))
     first = rows.join(c, F.contains("_b", F.col("_t"))).groupBy("pos").agg(F.min_by("term", "_p").alias("company"))
     x = df.join(first, "pos", "left")
     has = F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(t) == F.lower("company"))
@@ -93,3 +93,87 @@ def personalize(df: DataFrame, boost: list[str], penalty: list[str], min_score:
     delta = cfg.profile_step * hits(boost) - cfg.profile_step * hits(penalty)
     x = df.withColumn("boost", F.round(delta, 2)).withColumn("effective_score", F.round(F.coalesce("score", F.lit(0)) + delta, 2))
     return x.filter(F.col("score") >= min_score) if min_score is not None else x
+
+
+def profile_of(profiles: DataFrame, email: str) -> DataFrame:
+    """The first profile (by pos) of an address, case aside."""
+    return profiles.filter(F.lower(F.trim("email")) == email.strip().lower()).orderBy("pos").limit(1)
+
+
+def personal_order(df: DataFrame) -> DataFrame:
+    """A reader's order: best effective score first, then as it came."""
+    return df.orderBy(F.desc("effective_score"), "pos")
+
+
+def most_active(counts: DataFrame, n: int = 10) -> DataFrame:
+    """The n most mentioned names: a report."""
+    return counts.filter("total > 0").orderBy(F.desc("total"), "term").limit(n)
+
+
+def examples(df: DataFrame, terms: DataFrame, n: int = 2) -> DataFrame:
+    """(term, examples): the first n titles, cut at 120 characters, of rows that hold each term of a short list."""
+    rows = df.select("pos", F.substring(text("title"), 1, 120).alias("title"), F.lower(F.concat_ws(" ", text("title"), text("summary"))).alias("_b"))
+    hit = rows.join(terms.select("term"), F.contains("_b", F.col("term"))).select("term", "pos", "title")
+    first = hit.withColumn("_n", F.row_number().over(W.partitionBy("term").orderBy("pos"))).filter(F.col("_n") <= n)
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda e: e["title"])
+    return terms.select("term").join(first.groupBy("term").agg(titles.alias("examples")), "term", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
+
+
+def query_report(stats: DataFrame) -> DataFrame:
+    """(source, queries, productive, sterile, hits): how the queries of each source do; sterile ones have four zeros in a row."""
+    return stats.groupBy("source").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("hits_total") > 0).alias("productive"), F.count_if(F.col("consecutive_zeros") >= 4).alias("sterile"), F.sum("hits_total").alias("hits"))
+
+
+def top_queries(stats: DataFrame, n: int = 20) -> DataFrame:
+    """(source, rank, query, hits_total): the n best queries of each source."""
+    w = W.partitionBy("source").orderBy(F.desc_nulls_last("hits_total"), "query", "stat_id")
+    return stats.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("source", "rank", F.substring("query", 1, 80).alias("query"), "hits_total")
+
+
+def report_lists(stats: DataFrame, n: int = 30) -> DataFrame:
+    """(kind, stat_id): the n queries with most hits, and the n with most zeros in a row and at least four."""
+    best = stats.filter("hits_total > 0").orderBy(F.desc("hits_total"), "stat_id").limit(n).select(F.lit("productive").alias("kind"), "stat_id")
+    worst = stats.filter("consecutive_zeros >= 4").orderBy(F.desc("consecutive_zeros"), "stat_id").limit(n).select(F.lit("sterile").alias("kind"), "stat_id")
+    return best.unionAll(worst)
+
+
+def feedback_counts(feedback: DataFrame) -> DataFrame:
+    return feedback.agg(F.count_if(F.lower("rating") == "up").alias("up"), F.count_if(F.lower("rating") == "down").alias("down"))
+
+
+def digest_actors(actors: DataFrame, n: int = 15) -> DataFrame:
+    """Actors for a digest: seen twice at least, most often seen first."""
+    return actors.filter(F.col("count") >= 2).orderBy(F.desc("count"), "actor_id").limit(n).select("actor_id", "name", "count")
+
+
+def dashboard_actors(actors: DataFrame) -> DataFrame:
+    """(place, actor_id, name, count, appearances_runs): actors by sightings, then runs."""
+    x = actors.select("actor_id", F.substring(text("name"), 1, 120).alias("name"), "count", "appearances_runs")
+    return x.orderBy(F.desc_nulls_last("count"), F.desc_nulls_last("appearances_runs"), "actor_id")
+
+
+def choose_models(models: DataFrame, special: list[str], weights: dict[str, int]) -> DataFrame:
+    """Scoring models in order of preference: those that generate text and aren't of a special kind, by weight (100), then name."""
+    x = models.filter(F.array_contains("methods", "generateContent")).select("name").distinct()
+    x = x.filter(~F.exists(F.array(*map(F.lit, special)).cast("array<string>"), lambda s: F.contains(F.lower("name"), s)))
+    w = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in weights.items() for v in kv)), F.col("name")), F.lit(100)) if weights else F.lit(100)
+    return x.select("name", w.alias("weight")).orderBy("weight", "name")
+
+
+def translation_candidates(df: DataFrame, n: int = 15, least: int = 4) -> DataFrame:
+    """The first n rows to translate: well scored, with a summary."""
+    return df.filter((F.col("score") >= least) & (F.trim(text("summary")) != "")).orderBy("pos").limit(n)
+
+
+def with_translations(df: DataFrame, translated: DataFrame, lang: str) -> DataFrame:
+    """Rows with the translation of their summary, where there is one that isn't blank."""
+    t = translated.filter(F.trim(text("text")) != "").groupBy("pos").agg(F.min("text").alias("summary_translated"))
+    return df.join(t, "pos", "left").withColumn("summary_lang", F.when(F.col("summary_translated").isNotNull(), lang))
+
+
+def with_families(patents: DataFrame, cache: DataFrame, as_of: Column, days: int = 60) -> DataFrame:
+    """Patents with citations and family size of cache entries younger than ``days``, and whether they must be looked up."""
+    c = cache.groupBy("pub_num").agg(F.max_by(F.struct("citations_count", "family_size", "enriched_at"), "enriched_at").alias("c"))
+    x = patents.join(c, patents["patent_pub_num"] == c["pub_num"], "left")
+    fresh = F.col("c.enriched_at").cast("timestamp") > as_of - F.make_dt_interval(F.lit(days))
+    return x.select(*patents.columns, F.when(fresh, F.col("c.citations_count")).alias("epo_citations_count"), F.when(fresh, F.col("c.family_size")).alias("epo_family_size"), (~F.coalesce(fresh, F.lit(False))).alias("look_up"))

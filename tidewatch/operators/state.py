@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULT, Config
-from tidewatch.functions.text import classify_actor, normalize_actor, normalize_query, text
+from tidewatch.functions.text import classify_actor, normalize_actor, normalize_query, prompt_version, text
 
 
 def stats_by_run(runs: DataFrame) -> DataFrame:
@@ -24,8 +24,13 @@ def stats_by_run(runs: DataFrame) -> DataFrame:
 
 
 def merge_stats(state: DataFrame, run: DataFrame, now: Column) -> DataFrame:
-    """Merges one run's (query, source, hits) into the state; keys that the run lacks stay as they are."""
-    s = state.alias("s").join(run.select(F.substring(text("query"), 1, 200).alias("query"), "source", "hits").alias("r"), ["query", "source"], "full_outer")
+    """Merges one run's (query, source, hits) into the state; keys that the run lacks stay as they are.
+
+    Of several rows of a key in a run the last counts, by ``seq`` where the run has one, else the one with most hits.
+    """
+    last = F.max_by("hits", "seq") if "seq" in run.columns else F.max("hits")
+    one = run.select(F.substring(text("query"), 1, 200).alias("query"), "source", *[c for c in ("hits", "seq") if c in run.columns]).groupBy("query", "source").agg(last.alias("hits"))
+    s = state.alias("s").join(one.alias("r"), ["query", "source"], "full_outer")
     ran, hit = F.col("hits").isNotNull(), F.coalesce(F.col("hits"), F.lit(0)) > 0
     old = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit(0))
     return s.select(
@@ -54,9 +59,86 @@ def upsert(state: DataFrame, new: DataFrame, key: Column, order: list[Column], c
     return last.orderBy(*cap_order).limit(cap)
 
 
-def keep_last(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """Retention: the first n rows by ``order`` (latest first)."""
-    return df.orderBy(*order).limit(n)
+def run_actors(seen: DataFrame, known: DataFrame) -> DataFrame:
+    """(actor, name, count, sources, at): one run's sightings (pos, name, source, at) by normalised name, known ones left out.
+
+    The first spelling counts; sources are in the order in which they first come.
+    """
+    x = seen.withColumn("actor", normalize_actor("name")).filter(F.length(F.trim("name")).between(3, 200))
+    x = x.join(known.select(normalize_actor("term").alias("actor")).distinct(), "actor", "left_anti")
+    by_source = x.groupBy("actor", "source").agg(F.min("pos").alias("p"), F.count(F.lit(1)).alias("c"), F.min_by("name", "pos").alias("name"), F.min("at").alias("a"), F.max("at").alias("z"))
+    sources = F.transform(F.array_sort(F.collect_list(F.struct("p", "source"))), lambda e: e["source"])
+    return by_source.groupBy("actor").agg(F.min_by("name", "p").alias("name"), F.sum("c").alias("count"), sources.alias("sources"), F.min("a").alias("first_seen"), F.max("z").alias("last_seen"))
+
+
+def merge_actor_state(state: DataFrame, run: DataFrame) -> DataFrame:
+    """State of actors after a run: counts added, one more run for those seen, sources united, the last sight moved on."""
+    s = state.alias("s").join(run.alias("r"), "actor", "full_outer")
+    none = F.array().cast("array<string>")
+    return s.select(
+        "actor", F.coalesce("s.name", "r.name").alias("name"), (F.coalesce("s.count", F.lit(0)) + F.coalesce("r.count", F.lit(0))).alias("count"),
+        F.array_union(F.coalesce("s.sources", none), F.coalesce("r.sources", none)).alias("sources"), F.least("s.first_seen", "r.first_seen").alias("first_seen"),
+        F.greatest("s.last_seen", "r.last_seen").alias("last_seen"), (F.coalesce("s.appearances_runs", F.lit(0)) + F.col("r.actor").isNotNull().cast("int")).alias("appearances_runs"),
+    )
+
+
+def append(state: DataFrame, new: DataFrame, keep: int, *latest: str) -> DataFrame:
+    """History with new rows at its end, the last ``keep`` by ``latest`` kept."""
+    return state.unionByName(new, allowMissingColumns=True).orderBy(*(F.desc_nulls_last(c) for c in latest)).limit(keep)
+
+
+def upsert_feedback(state: DataFrame, new: DataFrame, keep: int) -> DataFrame:
+    """Feedback after new entries: ratings other than up and down are ignored, the last entry of an article counts."""
+    both = state.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)), allowMissingColumns=True).withColumn("rating", F.lower(F.trim("rating")))
+    both = both.filter(F.col("rating").isin("up", "down") & (F.length("article_id") > 0))
+    w = W.partitionBy("article_id").orderBy(F.desc("_n"), F.desc_nulls_last("date"), F.desc("feedback_id"))
+    last = both.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    return last.orderBy(F.desc_nulls_last("date"), F.desc("feedback_id")).limit(keep).drop("_n", "_r")
+
+
+def unread(mails: DataFrame, last_uid: int) -> tuple[DataFrame, int]:
+    """Mails behind the offset, and the offset to commit after them."""
+    new = mails.filter(F.col("uid") > last_uid)
+    return new, new.agg(F.coalesce(F.max("uid"), F.lit(last_uid))).first()[0]
+
+
+def register_prompts(registry: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Rows to append for (prompt, label, at) whose version the registry lacks: version, label, first_seen, size, preview."""
+    x = prompts.select(prompt_version("prompt").alias("version"), "label", F.col("at").alias("first_seen"), F.length(text("prompt")).alias("prompt_size"), F.substring(text("prompt"), 1, 200).alias("preview"))
+    one = x.groupBy("version").agg(*(F.min(c).alias(c) for c in ("label", "first_seen", "prompt_size", "preview")))
+    return one.join(registry.select("version"), "version", "left_anti")
+
+
+def archived_since(state: DataFrame, new: DataFrame, key: Column) -> DataFrame:
+    """(n): number of keys that an upsert adds to the archive."""
+    keys = lambda df: df.select(key.alias("k")).filter("k <> ''").distinct()
+    return keys(new).join(keys(state), "k", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+
+
+def remember(df: DataFrame, seen: DataFrame, mode: str, link: Column) -> DataFrame:
+    """Rows of a run by memory mode, with ``was_seen``: 'filter' drops seen ones, 'badge' marks them, 'reset' forgets."""
+    if mode == "reset":
+        return df.withColumn("was_seen", F.lit(False))
+    known = seen.select(F.col("url").alias("_u")).distinct().withColumn("_hit", F.lit(True))
+    x = df.withColumn("_u", link).join(known, "_u", "left").withColumn("was_seen", F.coalesce("_hit", F.lit(False))).drop("_u", "_hit")
+    return x.filter(~F.col("was_seen")) if mode == "filter" else x
+
+
+def run_tuning(actors: DataFrame, targets: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(targets, promoted, purged): promotion first, then purge among what is listed then; purged terms are returned for a rollback."""
+    new = promote(actors, targets, cfg)
+    last = targets.groupBy("list_name").agg(F.max("pos").alias("last"))
+    listed = new.select(F.when(F.col("kind") == "company", "companies").otherwise("research_orgs").alias("list_name"), F.trim("name").alias("term"), F.row_number().over(W.partitionBy("kind").orderBy(F.desc("count"), "actor_id")).alias("n"))
+    added = listed.join(last, "list_name", "left").select("list_name", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("int").alias("pos"), "term")
+    now = targets.select("list_name", F.col("pos").cast("int").alias("pos"), "term").unionByName(added)
+    gone = purge(sterile_targets(now, stats, cfg), cfg)
+    return now.join(gone.select("list_name", "term"), ["list_name", "term"], "left_anti").select("list_name", "pos", "term"), new, gone
+
+
+def sorted_targets(targets: DataFrame) -> DataFrame:
+    """Targets as they are saved: each term of a list once, in order without regard to case."""
+    one = targets.filter(F.length(F.trim("term")) > 0).groupBy("list_name", "term").agg(F.min("pos").alias("p"))
+    return one.select("list_name", "term", F.row_number().over(W.partitionBy("list_name").orderBy(F.lower("term"), "term")).alias("place"))
 
 
 def tiers(stats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

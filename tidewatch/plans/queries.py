@@ -127,9 +127,9 @@ def seen_anti(s, d):
 
 
 def _firms(s, d):
-    """Firms to count: the first words of the titles' firms in the queries' statistics."""
+    """All firms to count: the first words of the titles' firms in the queries' statistics."""
     q = table(s, d, "query_stats").select(F.regexp_extract(T.text("query"), '^"([^"]+)"', 1).alias("term")).filter("term <> ''")
-    return q.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(40)
+    return q.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mentions(s, d):
@@ -270,8 +270,8 @@ def dedup_components(s, d):
 
 
 def semantic_dedup(s, d):
-    a, v = _title_vectors(s, d)
-    return dedup.semantic(a, v, 0.85).select("pos")
+    _, v = _title_vectors(s, d)
+    return dedup.semantic(table(s, d, "article"), v, 0.85).select("pos")
 
 
 def embedding_cosine(s, d):
@@ -281,7 +281,7 @@ def embedding_cosine(s, d):
 
 
 def mmr(s, d):
-    return rank.mmr(table(s, d, "embeddings").withColumn("r", F.col("label") / 10.0), "vec_id", "r", "embedding", 0.7, 60)
+    return rank.mmr(table(s, d, "embeddings").withColumn("r", (F.col("label") % 5 + 1) / 5.0), "vec_id", "r", "embedding", 0.7, 60)
 
 
 def judge_candidates(s, d):
@@ -342,8 +342,116 @@ def querygen_all(s, d):
     return out
 
 
+def request_counts(s, d):
+    return querygen.request_counts(table(s, d, "target_terms"), 50)
+
+
+def most_active(s, d):
+    return A.most_active(mentions(s, d)).select("term", "total")
+
+
+def query_report(s, d):
+    return A.query_report(table(s, d, "query_stats"))
+
+
+def top_queries(s, d):
+    return A.top_queries(table(s, d, "query_stats"))
+
+
+def report_lists(s, d):
+    return A.report_lists(table(s, d, "query_stats"))
+
+
+def feedback_counts(s, d):
+    return A.feedback_counts(table(s, d, "feedback"))
+
+
+def digest_actors(s, d):
+    return A.digest_actors(table(s, d, "discovered_actors"))
+
+
+def dashboard_actors(s, d):
+    return A.dashboard_actors(table(s, d, "discovered_actors"))
+
+
+def sorted_targets(s, d):
+    return state.sorted_targets(table(s, d, "target_terms"))
+
+
+def feedback_upsert(s, d):
+    f = table(s, d, "feedback")
+    return state.upsert_feedback(f.filter("feedback_id % 3 <> 0"), f.filter("feedback_id % 3 = 0"), 500).select("feedback_id", "article_id", "rating")
+
+
+def prompt_registry(s, d):
+    q = table(s, d, "documents").select(F.col("text").alias("prompt"), F.col("source").alias("label"), F.col("fetched_at").alias("at"), "doc_id")
+    first = state.register_prompts(q.limit(0).select(F.lit("").alias("version")), q.filter("doc_id % 2 = 0"))
+    return state.register_prompts(first, q.filter("doc_id % 2 = 1")).select("version", "first_seen", "prompt_size")
+
+
+def archive_new(s, d):
+    a = table(s, d, "article")
+    return state.archived_since(a.filter("batch_no = 0"), a.filter("batch_no >= 1"), F.regexp_replace(F.trim(T.text("link")), "/+$", ""))
+
+
+def memory_modes(s, d):
+    a = table(s, d, "article").drop("was_seen")
+    seen = a.filter("batch_no = 0 and link is not null").select(T.normalize_url("link").alias("url"))
+    new = a.filter("batch_no >= 1")
+    out = [state.remember(new, seen, m, T.normalize_url("link")).select(F.lit(m).alias("mode"), "pos", "was_seen") for m in ("filter", "badge", "reset")]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+def actor_runs(s, d):
+    """Two runs of sightings, the patents' assignees, merged into the actors' state."""
+    a = table(s, d, "article").filter("patent_assignee is not null").select("pos", F.col("patent_assignee").alias("name"), T.source_family("source").alias("source"), F.col("collected_at").alias("at"), "batch_no")
+    known = table(s, d, "target_terms").filter(F.col("list_name").isin("companies", "research_orgs"))
+    one, two = (state.run_actors(a.filter(c), known) for c in ("batch_no = 0", "batch_no >= 1"))
+    empty = one.limit(0).withColumn("appearances_runs", F.lit(0))
+    out = state.merge_actor_state(state.merge_actor_state(empty, one), two)
+    return out.select("actor", "count", "appearances_runs", F.array_join(F.array_sort("sources"), ",").alias("sources"))
+
+
+def calibration(s, d):
+    runs = A.score_distribution(table(s, d, "article"), "batch_no").select("batch_no", "n", "c5")
+    return state.append(runs.filter("batch_no < 4"), runs.filter("batch_no >= 4"), 5, "batch_no")
+
+
+def unread_mails(s, d):
+    new, last = state.unread(table(s, d, "feedback").select(F.col("feedback_id").alias("uid"), "rating"), 10)
+    return new.agg(F.count(F.lit(1)).alias("n")).withColumn("last_uid", F.lit(last))
+
+
+def tuning(s, d):
+    q = table(s, d, "query_stats")
+    now, _, _ = state.run_tuning(table(s, d, "discovered_actors").filter("name is not null"), table(s, d, "target_terms"), q)
+    return now.groupBy("list_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def translation(s, d):
+    c = A.translation_candidates(table(s, d, "article"))
+    done = c.filter("pos % 2 = 0").select("pos", F.upper("summary").alias("text"))
+    return A.with_translations(c, done, "fr").select("pos", "summary_translated", "summary_lang")
+
+
+def patent_families(s, d):
+    a = table(s, d, "article").filter("patent_pub_num is not null").select("pos", "patent_pub_num", "published_at")
+    cache = a.filter("published_at is not null").groupBy(F.col("patent_pub_num").alias("pub_num")).agg(F.max("published_at").alias("enriched_at"), F.count(F.lit(1)).alias("family_size"), F.max("pos").alias("citations_count"))
+    return A.with_families(a, cache, F.lit(AS_OF).cast("timestamp")).select("pos", "epo_citations_count", "epo_family_size", "look_up")
+
+
+def term_examples(s, d):
+    terms = s.createDataFrame([("hardness",), ("solar",), ("no such term",)], "term string")
+    return A.examples(table(s, d, "article"), terms).select("term", F.array_join("examples", " / ").alias("examples"))
+
+
+def recap_order(s, d):
+    x = table(s, d, "article").filter("score >= 2").orderBy(F.desc("score"), F.desc_nulls_last("collected_at"), "pos").limit(50)
+    return x.select("pos", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [url_normalize, url_dedup, title_normalize, title_dedup, article_id, prompt_version, token_stats, doc_freq, cjk, strip_tags, blocked, epodoc, feedback_subject, llm_parse, actor_classify, presentation, prefilter, recency, required, source_counts, seen_flag, seen_anti, mentions, company_floor, archive_upsert, feedback_latest, few_shot, feedback_join, query_stats, stats_merge, tiers, sterile, purge_cap, actor_merge, promote, score_distribution, drift, heatmap, bm25, prerank_keep, tfidf_terms, emerging, dedup_pairs, dedup_components, semantic_dedup, embedding_cosine, mmr, judge_candidates, multi_judge, personalize, recap, digest_groups, dashboard_pivot, dashboard_search, ttl_cache, patent_candidates, querygen_gnews, querygen_all]
+    names = [url_normalize, url_dedup, title_normalize, title_dedup, article_id, prompt_version, token_stats, doc_freq, cjk, strip_tags, blocked, epodoc, feedback_subject, llm_parse, actor_classify, presentation, prefilter, recency, required, source_counts, seen_flag, seen_anti, mentions, company_floor, archive_upsert, feedback_latest, few_shot, feedback_join, query_stats, stats_merge, tiers, sterile, purge_cap, actor_merge, promote, score_distribution, drift, heatmap, bm25, prerank_keep, tfidf_terms, emerging, dedup_pairs, dedup_components, semantic_dedup, embedding_cosine, mmr, judge_candidates, multi_judge, personalize, recap, digest_groups, dashboard_pivot, dashboard_search, ttl_cache, patent_candidates, querygen_gnews, querygen_all, request_counts, most_active, query_report, top_queries, report_lists, feedback_counts, digest_actors, dashboard_actors, sorted_targets, feedback_upsert, prompt_registry, archive_new, memory_modes, actor_runs, calibration, unread_mails, tuning, translation, patent_families, term_examples, recap_order]
     return {f"q_{f.__name__}": f for f in names}
 
 
