@@ -258,6 +258,18 @@ def test_subset_covers_all_subjects(spark):
     assert subset.choose(df.limit(0), req).count() == 0
 
 
+def test_choice_is_more_varied_than_chance(spark):
+    articles = spark.read.parquet(f"{DATA}/article.parquet").filter("score is not null")
+    req = spark.createDataFrame([(1, 20, 1, None)], "request_id long, n_wanted int, min_score int, category string")
+    rows = articles.select("pos", "title", "summary", "score").orderBy("pos").toPandas()
+    x = subset.vectors(rows["title"], rows["summary"], rows["score"])
+    spread = lambda at: float(subset._apart(x, x[at]).min(1).mean())
+    own = spread([int(rows.index[rows["pos"] == r.pos][0]) for r in subset.choose(articles, req).collect()])
+    rng = random.Random(7)
+    chance = sorted(spread(rng.sample(range(len(rows)), 20)) for _ in range(50))
+    assert own < chance[5]
+
+
 # 7 ---------------------------------------------------------------------------------------------------------
 
 

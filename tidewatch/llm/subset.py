@@ -1,8 +1,8 @@
 """Problem 6: a subset of given size that covers the variety of the data.
 
-Cluster-feature trees.  Each partition sums its records up as cluster features (count, linear sum, square sum)
-under a radius that grows when there are too many; the summaries of all partitions are merged for each cell of
-category and score.  For a request, the features of its cells are agglomerated by Ward linkage down to as many
+Cluster-feature trees.  Each partition sums its records up as cluster features (count, linear sum, square sum), the
+leaf entries of its tree, under a radius that grows when there are too many; the summaries of all partitions are
+merged in two levels, first of groups of partitions, then of the groups, for each cell of category and score.  For a request, the features of its cells are agglomerated by Ward linkage down to as many
 groups as records are wanted, and the record nearest each group's centre is chosen.  A crowded subject is one
 feature with a large count, so it gets no more than its share of the variety.
 """
@@ -15,12 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 48
 #: Features kept of a cell by a partition, and after merging; features of a request that enter Ward linkage.
 LEAVES, MERGED, LINKED = 64, 256, 600
+#: Groups of partitions that are merged first.
+GROUPS = 64
 SCORE_WEIGHT = 0.15
 _WORD = re.compile(r"[^\W\d_]{3,}|[぀-鿿]{2}")
 _VECTOR = [f"v{i}" for i in range(DIM + 1)]
@@ -120,16 +123,17 @@ def choose(df: DataFrame, requests: DataFrame, key: str = "pos", title: str = "t
     A record qualifies with a score of at least ``min_score`` and, if the request names one, its category, case
     aside; records without a score never do.  Null titles and summaries count as empty texts.  Of records equally
     near a centre the one with the least key is chosen, and no record twice.  Requests are few: they are
-    collected, as are at most MERGED features of each cell.
+    collected, as are at most MERGED features of each cell; beyond MERGED the features of a cell, and beyond LINKED (or
+    twice the number wanted) those of a request, stand for wider groups.
     """
     wanted = [(r["request_id"], r["n_wanted"], r["min_score"], (r["category"] or "").strip().lower() or None) for r in requests.select("request_id", "n_wanted", "min_score", "category").filter("n_wanted > 0").collect()]
     kind = df.schema[key].dataType.simpleString()
     rows = _cells(df, key, title, summary, score, category)
-    entry = "cat string, score int, n double, ss double, " + ", ".join(f"{v} double" for v in _VECTOR)
+    entry = "part int, cat string, score int, n double, ss double, " + ", ".join(f"{v} double" for v in _VECTOR)
 
-    def table(cell: tuple, f: Features) -> pd.DataFrame:
+    def table(cell: tuple, f: Features, part: int) -> pd.DataFrame:
         out = pd.DataFrame(f.ls, columns=_VECTOR)
-        return out.assign(cat=cell[0], score=cell[1], n=f.n, ss=f.ss)[["cat", "score", "n", "ss", *_VECTOR]]
+        return out.assign(part=part, cat=cell[0], score=cell[1], n=f.n, ss=f.ss)[["part", "cat", "score", "n", "ss", *_VECTOR]]
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, Features] = {}
@@ -139,15 +143,16 @@ def choose(df: DataFrame, requests: DataFrame, key: str = "pos", title: str = "t
                 for cell, at in b.groupby(["cat", "score"]).indices.items():
                     held.setdefault(cell, Features(LEAVES)).add(np.ones(len(at)), x[at], (x[at] ** 2).sum(1))
         for cell, f in held.items():
-            yield table(cell, f)
+            yield table(cell, f, TaskContext.get().partitionId() % GROUPS)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         f = Features(MERGED)
         pdf = pdf.sort_values(["n", *_VECTOR], ascending=False)
         f.add(pdf["n"].to_numpy(), pdf[_VECTOR].to_numpy(), pdf["ss"].to_numpy())
-        return table((pdf["cat"].iloc[0], pdf["score"].iloc[0]), f)
+        return table((pdf["cat"].iloc[0], pdf["score"].iloc[0]), f, 0)
 
-    entries = rows.mapInPandas(summarise, entry).groupBy("cat", "score").applyInPandas(merge, entry).toPandas()
+    groups = rows.mapInPandas(summarise, entry).groupBy("cat", "score", "part").applyInPandas(merge, entry)
+    entries = groups.groupBy("cat", "score").applyInPandas(merge, entry).toPandas()
     centres: list[tuple] = []
     for rid, k, least, cat in wanted:
         own = entries[(entries["score"] >= (least if least is not None else -(2**31))) & ((entries["cat"] == cat) | (cat is None))]
@@ -173,6 +178,10 @@ def choose(df: DataFrame, requests: DataFrame, key: str = "pos", title: str = "t
         yield pd.DataFrame([(r, j, d, k) for (r, j), v in best.items() for d, k in v], columns=["request_id", "choice", "d", "k"])
 
     near = rows.mapInPandas(nearest, f"request_id bigint, choice int, d double, k {kind}")
+    # of all partitions' nearest records the k nearest of each centre: a request never has more than k * k rows
+    w = Window.partitionBy("request_id", "choice").orderBy("d", "k")
+    size = F.create_map(*(F.lit(x) for rid, k, *_ in centres for x in (rid, k))) if centres else F.create_map(F.lit(0), F.lit(0))
+    near = near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= F.try_element_at(size, F.col("request_id"))).drop("n")
     size = {rid: k for rid, k, *_ in centres}
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
