@@ -29,6 +29,8 @@ MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ԯ]|[Ѐ-ԯ][A-Za-zÀ-ɏ]|(?<![Ѐ-ԯ])(?<![
 #: A letter that opens a multi-byte sequence when UTF-8 is read as a single-byte encoding, and what may follow it.
 PAIR = re.compile(f"[\xc2\xc3\xc5\xe2\xe3\xce\xcf¬√][\x80-\xbfŒœŠšŸŽžƒˆ˜–-›€™∞\xc4-\xff]|√[^\x00-\x7f]|‚Ä|(?:[\xd0\xd1\xd7\xd8\xd9][{_TAIL}]){{2}}|\xf0[{_TAIL}]{{3}}|[\xea-\xed][{_TAIL}]{{2}}")
 SUSPECT = re.compile(f"[\x7f-\x9f�Ѐ-ԯ─-▟]|{PAIR.pattern}|[\xe4-\xe9][\x80-\xbfŒ-ƒˆ˜–-›€™]{{2}}")
+#: What SUSPECT can begin with, and that its second character isn't ASCII: one set, which is searched fast.
+_QUICK = re.compile("[\x7f-\x9f�Ѐ-ԯ─-▟\xc2\xc3\xc5\xe2-\xed\xce\xcf¬√‚\xd0\xd1\xd7\xd8\xd9\xf0](?:(?<=[\x7f-\x9f�Ѐ-ԯ─-▟])|[^\x00-\x7f])")
 _PLAUSIBLE = re.compile("[ˆ˜\x20-\x7e\xa0-ɏΆ-ώЁ-џא-תء-ي‐-⁄⁴-ₜ₠-₿℀-⋿■-◿　-ヿ㐀-鿿가-힣＀-￯\U0001f300-\U0001faff]")
 
 
@@ -88,9 +90,14 @@ def _single(text: str, read: str, meant: str) -> str:
     return _BOTH.sub(lambda w: _FOREIGN.sub(one, w.group()), text)
 
 
+def suspect(text: str) -> bool:
+    m = _QUICK.search(text)
+    return m is not None and SUSPECT.search(text, m.start()) is not None
+
+
 def repair(text: str | None) -> str | None:
     """The text as it was meant, as far as it can be restored; text without signs of garbling is returned as it is."""
-    if not text or text.isascii() or not SUSPECT.search(text):
+    if not text or text.isascii() or not suspect(text):
         return text
     while now := cost(text):  # a layer at a time, as long as the cost drops
         tries = [_decode(text, e) for e in LEGACY] + [_single(text, *p) for p in SINGLE if re.search("[Ѐ-ԯ]", text)]
@@ -103,7 +110,7 @@ def repair(text: str | None) -> str | None:
 
 def garbled(text: str | None) -> bool:
     """Whether the text holds, in whole or in part, characters of a wrong encoding, restorable or not."""
-    if not text or text.isascii() or not SUSPECT.search(text):
+    if not text or text.isascii() or not suspect(text):
         return False
     if ODD.search(text) or MIXED.search(text):
         return True
