@@ -52,6 +52,12 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder; what else goes wrong with it isn't hidden."""
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
 def share_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, if they don't have it installed."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import cjk_share, inverted_text, strip_tags, text
+from tidewatch.runtime import exists
 
 ARTICLE = "pos bigint, title string, link string, summary string, source string, category string, collected_at string, published_at timestamp, tags array<string>, patent_assignee string, patent_pub_num string, patent_cpc array<string>"
 CUT = 600
@@ -120,7 +121,4 @@ def load_targets(spark: SparkSession, path: str) -> DataFrame:
 
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table, or an empty one of its schema where it doesn't exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

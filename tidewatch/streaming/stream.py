@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.functions.text import normalize_url
+from tidewatch.runtime import exists
 
 STATS = "query string, source string, hits_total bigint, hits_last_run bigint, runs_total bigint, consecutive_zeros bigint"
 _STATE = "hits_total bigint, runs_total bigint, consecutive_zeros bigint"
@@ -48,10 +49,8 @@ def upsert_sink(stream: DataFrame, path: str, key: str, order: str, checkpoint:
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            both = spark.read.parquet(f"{path}/{(number + 1) % 2}").unionByName(batch, allowMissingColumns=True)
-        except Exception:  # noqa: BLE001 - the first batch finds no table
-            both = batch
+        before = f"{path}/{(number + 1) % 2}"
+        both = spark.read.parquet(before).unionByName(batch, allowMissingColumns=True) if exists(spark, before) else batch
         both.groupBy(key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/{number % 2}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
