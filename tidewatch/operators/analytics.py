@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULT, Config
 from tidewatch.functions.text import text
+from tidewatch.operators.match import holding
 
 
 def score_distribution(df: DataFrame, *by: str) -> DataFrame:
@@ -26,10 +27,10 @@ def drift(history: DataFrame, run: str, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def mentions(df: DataFrame, terms: DataFrame, term: str, blob: Column, key: str = "pos") -> DataFrame:
-    """(key, term): terms that a row's blob holds as a substring, once each; terms are a small list, blank blobs hold none."""
+    """(key, term): terms that a row's blob holds as a substring, once each; the list of terms is collected, blank blobs hold none."""
     rows = df.select(F.col(key), F.lower(blob).alias("_b"), F.coalesce(F.col("category") == "patent", F.lit(False)).alias("patent")).filter(F.trim("_b") != "")
-    t = terms.select(F.col(term).alias("term"), F.lower(F.col(term)).alias("_t")).distinct()
-    return rows.join(t, F.contains("_b", F.col("_t"))).select(key, "term", "patent")
+    t = terms.filter(F.col(term).isNotNull()).select(F.col(term).alias("term"), F.lower(F.col(term)).alias("_t")).distinct().collect()
+    return holding(rows, "_b", [(r["_t"], r["term"]) for r in t]).select(key, "term", "patent")
 
 
 def mention_counts(df: DataFrame, terms: DataFrame, term: str, blob: Column) -> DataFrame:
