@@ -118,6 +118,10 @@ def test_mentions_of_many_terms_need_no_pass_for_each(spark):
     assert len(n) == len(terms) and n["ab"] == (1, 1, 0) and n["Zestor"] == (2, 1, 1) and n["firm12 of a long list"] == (0, 0, 0)
 
 
+def test_most_active_has_no_pass_for_each_term(spark):
+    assert "NestedLoop" not in Q.queries()["q_most_active"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mmr_is_a_permutation(spark):
     df = spark.createDataFrame([(i, 0.5, [float(i % 3), 1.0]) for i in range(9)], "k long, r double, v array<double>")
     got = rank.mmr(df, "k", "r", "v", 0.7, 9).collect()
