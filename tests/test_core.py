@@ -118,6 +118,14 @@ def test_mentions_of_many_terms_need_no_pass_for_each(spark):
     assert len(n) == len(terms) and n["ab"] == (1, 1, 0) and n["Zestor"] == (2, 1, 1) and n["firm12 of a long list"] == (0, 0, 0)
 
 
+def test_company_floor_takes_the_first_listed_of_many(spark):
+    firms = spark.createDataFrame([("Zestor", 5), ("zest", 7), ("Bo", 9)] + [(f"firm{i} of a long list", 10 + i) for i in range(3000)] + [(None, 1)], "term string, pos int")
+    df = spark.createDataFrame([(1, "a ZESTOR b", None, 2, None), (2, "bob", "firm2999 of a long list", 5, ["BO"]), (3, "none", "", 3, ["x"]), (4, "zest", None, None, [])], "pos long, title string, summary string, score int, tags array<string>")
+    out = analytics.company_floor(df, firms)
+    assert "Nested" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.pos: (r.score, r.company, r.tags) for r in out.collect()} == {1: (4, "Zestor", ["Zestor"]), 2: (5, "Bo", ["BO"]), 3: (3, None, ["x"]), 4: (4, "zest", ["zest"])}
+
+
 def test_most_active_has_no_pass_for_each_term(spark):
     assert "NestedLoop" not in Q.queries()["q_most_active"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 

@@ -62,10 +62,11 @@ def grid(df: DataFrame, run: Column, name: str, runs: DataFrame) -> DataFrame:
 
 
 def company_floor(df: DataFrame, companies: DataFrame) -> DataFrame:
-    """Rows that name a listed company get a score of 4 at least, and the first listed one as a tag if they lack it."""
+    """Rows that name a listed company get a score of 4 at least, and the first listed one as a tag if they lack it; the list is collected."""
     rows = df.select("pos", F.lower(F.concat_ws(" ", text("title"), text("summary"))).alias("_b"))
-    c = companies.select("term", F.col("pos").alias("_p"), F.lower("term").alias("_t"))
-    first = rows.join(c, F.contains("_b", F.col("_t"))).groupBy("pos").agg(F.min_by("term", "_p").alias("company"))
+    c = companies.filter("term is not null and pos is not null").select("pos", "term", F.lower("term").alias("_t")).collect()
+    listed = [(r["_t"], r["term"]) for r in sorted(c, key=lambda r: r["pos"])]
+    first = holding(rows, "_b", listed).groupBy("pos").agg(F.min_by("term", "i").alias("company"))
     x = df.join(first, "pos", "left")
     has = F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(t) == F.lower("company"))
     tags = F.when(F.col("company").isNull() | has, F.col("tags")).otherwise(F.array_append(F.coalesce("tags", F.array().cast("array<string>")), F.col("company")))
