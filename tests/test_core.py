@@ -2,13 +2,15 @@
 
 import glob
 import os
+import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
-from tidewatch.operators import analytics, dedup, filters, rank, state
+from tidewatch.operators import analytics, dedup, filters, rank, similar, state
 from tidewatch.operators.graph import components
 from tidewatch.plans import queries as Q
 from tidewatch.sources import querygen, readers
@@ -130,6 +132,34 @@ def test_most_active_has_no_pass_for_each_term(spark):
     assert "NestedLoop" not in Q.queries()["q_most_active"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cosine_pairs_against_all_pairs(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.15)), 40)}" for _ in range(r.randint(1, 7))) for _ in range(400)]
+    texts += [" ".join(f"w{i % 3} z{i} z{i}".split()[: 2 + i % 2]) for i in range(60)] * 2 + ["alone alone", "alone", "", "w1", "w1 w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "pos long, t string")
+    got = {(x.a, x.b): x.cosine for x in dedup.cosine_pairs(df, "pos", T.text("t"), 0.85, 60).collect()}
+    v = defaultdict(dict)
+    for x in rank.tfidf(df, "pos", T.text("t"), 60).collect():
+        v[x.pos][x.term] = x.w
+    want = {(a, b): c for a in v for b in v if a < b and (c := sum(w * v[b].get(t, 0) for t, w in v[a].items())) >= 0.85 - 1e-12}
+    assert len(want) > 500 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    linked = components(dedup.cosine_links(df, "pos", T.text("t"), 0.85, 60)).collect()
+    assert {tuple(x) for x in linked} == {tuple(x) for x in components(spark.createDataFrame(list(want), "a long, b long")).collect()}
+
+
+def test_unlike_texts_with_a_term_in_common_do_not_meet():
+    # by one term each of them would meet all others: 500,000 candidates
+    df, n = {0: 1000, **{i: 1 for i in range(1, 3001)}}, 1000
+    idf = [1.0 if t == 0 else 7.0 for t in df]
+    posted = Counter()
+    for text in range(n):
+        terms = [1 + 3 * text, 2 + 3 * text, 3 + 3 * text, 3001]
+        w = [idf[1]] * 3 + [idf[0]]
+        square = sum(x * x for x in w)
+        posted.update(similar.first_terms(terms, [x * x / square for x in w], 0.85 * 0.85))
+    assert max(posted.values()) == 1 and len(posted) <= 3 * n
+
+
 def test_mmr_is_a_permutation(spark):
     df = spark.createDataFrame([(i, 0.5, [float(i % 3), 1.0]) for i in range(9)], "k long, r double, v array<double>")
     got = rank.mmr(df, "k", "r", "v", 0.7, 9).collect()

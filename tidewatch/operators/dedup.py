@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import normalize_title, normalize_url, text
+from tidewatch.operators import similar
 from tidewatch.operators.graph import components
-from tidewatch.runtime import cut
 
 
 def by_link(df: DataFrame, link: str = "link", pos: str = "pos") -> DataFrame:
@@ -30,29 +30,27 @@ def by_title(df: DataFrame, title: str = "title", summary: str = "summary", pos:
     return best.drop("_n").withColumn("untitled", F.lit(False)).unionByName(rest.withColumn("untitled", F.lit(True))).drop("_t")
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "k") -> DataFrame:
-    """(a, b, cosine) of unit vectors (key, term, w, df) whose cosine reaches the threshold.
+def cosine_pairs(df: DataFrame, key: str, body: Column, threshold: float, max_features: int) -> DataFrame:
+    """(a, b, cosine) of the texts whose TF-IDF vectors reach the threshold, the smaller key first."""
+    rows, idf = similar.classes(df, key, body, max_features)
+    x, y = rows.select(F.col("rep").alias("a"), F.col("k").alias("ka")), rows.select(F.col("rep").alias("b"), F.col("k").alias("kb"))
+    across = similar.near(rows, idf, threshold).join(x, "a").join(y, "b").select("ka", "kb", "cosine")
+    within = x.join(y, F.col("a") == F.col("b")).filter("ka < kb").select("ka", "kb", F.lit(1.0).alias("cosine"))
+    return across.unionAll(within).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "cosine")
 
-    Prefix filter: terms are ordered by frequency, the rarest last; the leading terms whose squared weights stay
-    below threshold² can't make a pair alone, so only the others are joined.  Candidates are then scored on
-    whole vectors.
-    """
-    order = W.partitionBy(key).orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    kept = vectors.withColumn("_s", F.sum(F.col("w") * F.col("w")).over(order)).filter(F.col("_s") >= threshold * threshold - 1e-9).select(key, "term")
-    a, b = kept.toDF("a", "term"), kept.toDF("b", "term")
-    pairs = a.join(b, "term").filter("a < b").select("a", "b").distinct()
-    whole = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
-    x = pairs.join(whole.toDF("a", "ma"), "a").join(whole.toDF("b", "mb"), "b")
-    dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("mb", e["key"]), F.lit(0.0)))
-    return x.select("a", "b", dot.alias("cosine")).filter(F.col("cosine") >= threshold)
+
+def cosine_links(df: DataFrame, key: str, body: Column, threshold: float, max_features: int) -> DataFrame:
+    """(a, b): links that join the same texts as ``cosine_pairs``; texts of one vector are linked to one of them."""
+    rows, idf = similar.classes(df, key, body, max_features)
+    return similar.near(rows, idf, threshold).select("a", "b").unionAll(rows.filter("k <> rep").select("rep", "k"))
 
 
-def semantic(df: DataFrame, vectors: DataFrame, threshold: float, pos: str = "pos") -> DataFrame:
-    """Representative of each component of rows whose cosine reaches the threshold; rows without a vector are kept.
+def semantic(df: DataFrame, links: DataFrame, pos: str = "pos") -> DataFrame:
+    """Representative of each component of the linked rows; rows without a link are kept.
 
     The representative is a patent before others, then has the longest summary, is the latest, comes first.
     """
-    root = components(cosine_pairs(cut(vectors), threshold, pos)).withColumnRenamed("node", pos)
+    root = components(links).withColumnRenamed("node", pos)
     w = W.partitionBy("_g").orderBy(F.desc(F.coalesce(F.col("category") == "patent", F.lit(False))), F.desc(F.length(text("summary"))), F.desc(text("collected_at")), pos)
     grouped = df.join(root, pos, "left").withColumn("_g", F.coalesce("root", pos))
     return grouped.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_g", "root")

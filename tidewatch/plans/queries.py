@@ -254,24 +254,21 @@ def emerging(s, d):
     return t.join(known, "term", "left_anti").orderBy(F.desc("score"), "term").limit(10)
 
 
-def _title_vectors(s, d):
-    a = table(s, d, "article").filter("length(title) > 20")
-    return a, rank.tfidf(a, "pos", T.text("title"), 8000)
+def _titles(s, d):
+    """Rows, key, text, threshold and features to compare titles by."""
+    return table(s, d, "article").filter("length(title) > 20"), "pos", T.text("title"), 0.85, 8000
 
 
 def dedup_pairs(s, d):
-    _, v = _title_vectors(s, d)
-    return dedup.cosine_pairs(v, 0.85, "pos").select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return dedup.cosine_pairs(*_titles(s, d)).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 def dedup_components(s, d):
-    _, v = _title_vectors(s, d)
-    return components(dedup.cosine_pairs(v, 0.85, "pos")).select("node", "root")
+    return components(dedup.cosine_links(*_titles(s, d))).select("node", "root")
 
 
 def semantic_dedup(s, d):
-    _, v = _title_vectors(s, d)
-    return dedup.semantic(table(s, d, "article"), v, 0.85).select("pos")
+    return dedup.semantic(table(s, d, "article"), dedup.cosine_links(*_titles(s, d))).select("pos")
 
 
 def embedding_cosine(s, d):
