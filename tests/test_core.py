@@ -71,6 +71,21 @@ def test_components(spark):
     assert components(e.limit(0)).count() == 0
 
 
+def test_components_of_a_small_table_take_few_jobs(spark, monkeypatch):
+    from tidewatch.operators import graph
+
+    r = random.Random(5)
+    edges = [(r.randrange(900), r.randrange(900)) for _ in range(500)] + [(2000 + i, 2001 + i) for i in range(0, 300)] + [(5000, 4000 + i) for i in range(50)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("one task", "")
+    local = {tuple(x) for x in components(e).collect()}
+    spark.sparkContext.setJobGroup("rounds", "")
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    assert local == {tuple(x) for x in components(e).collect()}
+    jobs = {g: len(spark.sparkContext.statusTracker().getJobIdsForGroup(g)) for g in ("one task", "rounds")}
+    assert jobs["one task"] <= 8 < jobs["rounds"]
+
+
 def test_dedup_keeps_longest_and_untitled(spark):
     rows = [(1, "A b", "x", "l1"), (2, "a  B!", "longer", "l1/"), (3, None, "y", None), (4, "", None, " ")]
     df = spark.createDataFrame(rows, "pos long, title string, summary string, link string")
