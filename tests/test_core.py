@@ -162,6 +162,12 @@ def test_cosine_pairs_against_all_pairs(spark):
     assert {tuple(x) for x in linked} == {tuple(x) for x in components(spark.createDataFrame(list(want), "a long, b long")).collect()}
 
 
+def test_texts_of_one_vector_take_a_link_each(spark):
+    df = spark.range(800).selectExpr("id pos", "'same title of a large class' t")
+    assert dedup.cosine_links(df, "pos", T.text("t"), 0.85, 50).count() == 799
+    assert {tuple(r) for r in components(dedup.cosine_links(df, "pos", T.text("t"), 0.85, 50)).collect()} == {(i, 0) for i in range(800)}
+
+
 def test_unlike_texts_with_a_term_in_common_do_not_meet():
     # by one term each of them would meet all others: 500,000 candidates
     df, n = {0: 1000, **{i: 1 for i in range(1, 3001)}}, 1000
