@@ -168,6 +168,14 @@ def test_texts_of_one_vector_take_a_link_each(spark):
     assert {tuple(r) for r in components(dedup.cosine_links(df, "pos", T.text("t"), 0.85, 50)).collect()} == {(i, 0) for i in range(800)}
 
 
+def test_semantic_keeps_the_best_of_a_class_and_all_unlinked(spark):
+    rows = [(1, "same long title", "patent", "x", "a"), (2, "same long title", "news", "longer", "b"), (3, "Same long title!", "patent", "xy", "a"), (4, None, None, "", None), (5, "quite another thing", "news", "x", "a")]
+    df = spark.createDataFrame(rows, "pos long, title string, category string, summary string, collected_at string")
+    links = dedup.cosine_links(df, "pos", T.text("title"), 0.85, 50)
+    assert {tuple(r) for r in links.collect()} == {(1, 2), (1, 3)}
+    assert sorted(r.pos for r in dedup.semantic(df, links).collect()) == [3, 4, 5]
+
+
 def test_unlike_texts_with_a_term_in_common_do_not_meet():
     # by one term each of them would meet all others: 500,000 candidates
     df, n = {0: 1000, **{i: 1 for i in range(1, 3001)}}, 1000
