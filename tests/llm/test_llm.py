@@ -5,6 +5,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,31 @@ def test_neardup_against_brute_force(spark):
     assert neardup.found(df.limit(0)).count() == 0
 
 
+def test_neardup_lists_of_many_parts_are_short_and_come_in_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = []
+    for n in [60, 78, 82, 100, 136, 144, 220] * 12:  # about the sizes where signatures grow
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[: n - 6]), " ".join(base + [rng.choice(vocabulary) for _ in range(6)]), " ".join(w if rng.random() > 0.12 else "x" for w in base)]
+    bags = [neardup.Codes().of("", t) for t in texts]
+    got = list(neardup.blocks(np.arange(len(bags)), bags, np.zeros(neardup.COUNTERS, np.int64), 1.0, 50))
+    size = np.array([len(b) // 4 for b in bags])
+    assert sum(len(r[8]) for r in got) < 0.7 * 64 * sum(r[2] for r in got)  # bytes of signatures, over texts of each part
+    s = neardup.signatures(*neardup._features(bags)[1:3], len(bags))
+    back = neardup._unpack_signs(neardup._pack_signs(s, size), size)
+    assert (neardup._folded(back, 2) == neardup._folded(s, 2)).all() and (back[size > 140] == s[size > 140]).all()
+    tables = []
+    monkeypatch.setattr(neardup, "cut", lambda df, f=neardup.cut: tables.append(1) or f(df))
+    monkeypatch.setattr(neardup, "TASK", 1_000)
+    monkeypatch.setattr(neardup, "AT_ONCE", 6)
+    df = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "pos long, title string, summary string")
+    found = [tuple(r) for r in neardup.found(df).collect()]
+    counts = [Counter(t.split()) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sum((counts[i] & counts[j]).values()) >= neardup.SHARE * max(size[i], size[j])}
+    assert len(tables) > 3 and len(want) > 300 and len(found) == len(set(found)) and want == set(found)
+
+
 def test_large_family_of_variants_stays_linked(spark):
     rng = random.Random(4)
     base = [f"t{i}" for i in range(80)]

@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -13,6 +14,7 @@ from tidewatch.functions import text as T
 from tidewatch.operators import analytics, dedup, filters, rank, similar, state
 from tidewatch.operators.graph import components
 from tidewatch.plans import queries as Q
+from tidewatch.runtime import CLEANUP, cut
 from tidewatch.sources import querygen, readers
 
 DATA = "/root/testdata/sf0.001"
@@ -86,6 +88,19 @@ def test_components_of_a_small_table_take_few_jobs(spark, monkeypatch):
     assert jobs["one task"] <= 8 < jobs["rounds"]
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())}
+    before = files()
+    rows = spark.range(10_000).repartition(4, "id")
+    written = cut(rows)
+    for _ in range(50):
+        if not (left := {f for f in files() - before if f.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP) == "false" and written.count() == rows.count() == 10_000
+
+
 def test_dedup_keeps_longest_and_untitled(spark):
     rows = [(1, "A b", "x", "l1"), (2, "a  B!", "longer", "l1/"), (3, None, "y", None), (4, "", None, " ")]
     df = spark.createDataFrame(rows, "pos long, title string, summary string, link string")

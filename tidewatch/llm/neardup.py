@@ -8,7 +8,9 @@ first.  The T - 1 longest lists of a text are skipped: such texts still meet in
 The order comes from a sample; it changes what the search costs, never what it finds.
 
 Postings travel in blocks, one for each batch of texts and each part of the feature space, with the size and a
-512-bit parity signature of each text's bag of words, whose differing bits are at most the words not shared.  A list
+parity signature of each text's bag of words, whose differing bits are at most the words not shared.  Signatures are
+repeated in every part that a text is posted in: they are as short as texts of that length allow, and where there are
+many parts they are posted and merged in rounds, each written before the next one begins.  A list
 is merged whole, however long, under size and signature; a list that the sample shows to be long is laid out in
 cells, each pair of its blocks in one cell, so that no task gets it all.  What is left of the bags is then probed by
 binary search, and a pair is kept where the common words reach T.
@@ -38,8 +40,8 @@ SHARE = 0.79
 SHORT = (19, 24)
 #: Texts the order of features is taken from, at most, and the counters it is kept in.
 SAMPLE, COUNTERS = 10_000, 1 << 18
-#: Words of 64 bits of a signature.
-SIGN = 8
+#: Words of 64 bits of a signature, those of texts of up to so many words, and parts that a text is posted in at once, about.
+SIGN, SHORTER, AT_ONCE = 8, ((80, 2), (140, 4)), 24
 #: Lists of up to so many texts are merged many at a time; lists of more than CELL texts are laid out in cells.
 MANY, CELL = 24, 20_000
 #: Postings that one task merges, about.
@@ -105,6 +107,33 @@ def signatures(flat: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64).reshape(n, SIGN)
 
 
+def widths(size: np.ndarray) -> np.ndarray:
+    """Words of the signatures of texts of these sizes."""
+    return np.select([size <= most for most, _ in SHORTER], [width for _, width in SHORTER], SIGN)
+
+
+def _folded(s: np.ndarray, width: int) -> np.ndarray:
+    """Signatures of ``width`` words: parities of the bits that fall on one another, which differ in no more places."""
+    return np.bitwise_xor.reduce(s.reshape(len(s), s.shape[1] // width, width), 1)
+
+
+def _pack_signs(sig: np.ndarray, size: np.ndarray) -> bytes:
+    """Each signature folded to the words of its size, one size after the other."""
+    width = widths(size)
+    return b"".join(_folded(sig[width == w], w).tobytes() for w in sorted({w for _, w in SHORTER} | {SIGN}))
+
+
+def _unpack_signs(b: bytes, size: np.ndarray) -> np.ndarray:
+    """Signatures of SIGN words, the shorter ones filled up with zeros."""
+    out, width, at = np.zeros((len(size), SIGN), np.uint64), widths(size), 0
+    flat = np.frombuffer(b, np.uint64)
+    for w in sorted({w for _, w in SHORTER} | {SIGN}):
+        rows = np.flatnonzero(width == w)
+        out[rows, :w] = flat[at : at + len(rows) * w].reshape(len(rows), w)
+        at += len(rows) * w
+    return out
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Bytes of whole numbers, lowest bytes first and together, so that they compress."""
     return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
@@ -116,8 +145,8 @@ def _unpack(b: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(n)
 
 
-def blocks(ids: np.ndarray, bags: list[bytes], counts: np.ndarray, scale: float, parts: int) -> Iterator[tuple]:
-    """(part, postings, texts, columns ...) of a batch of texts: what each part of the feature space gets of it."""
+def blocks(ids: np.ndarray, bags: list[bytes], counts: np.ndarray, scale: float, parts: int, turn: range | None = None) -> Iterator[tuple]:
+    """(part, postings, texts, columns ...) of a batch of texts: what each part of the feature space, or of a turn of them, gets of it."""
     size, flat, doc, dk, h = _features(bags)
     sig = signatures(flat, doc, len(bags))
     often = counts[h % COUNTERS]
@@ -137,6 +166,9 @@ def blocks(ids: np.ndarray, bags: list[bytes], counts: np.ndarray, scale: float,
     mixed = ((h.astype(np.uint64) << np.uint64(20) ^ cell.astype(np.uint64)) * _MIX >> np.uint64(32)).astype(np.int64)
     f = np.where(s > 1, mixed, h)
     part = f * parts >> 32
+    if turn is not None:
+        now = (part >= turn.start) & (part < turn.stop)
+        f, d, side, part = f[now], d[now], side[now], part[now]
     order = np.argsort(f, kind="stable")
     f, d, side, part = f[order], d[order], side[order], part[order]
     edge = np.searchsorted(part, np.arange(parts + 1))
@@ -144,46 +176,54 @@ def blocks(ids: np.ndarray, bags: list[bytes], counts: np.ndarray, scale: float,
         a, b = edge[p], edge[p + 1]
         texts = _distinct(d[a:b])
         step = np.diff(f[a:b], prepend=0).astype(np.uint32)
-        yield p, int(b - a), len(texts), _pack(step), _pack(np.searchsorted(texts, d[a:b]).astype(np.uint32)), _pack(side[a:b]), _pack(ids[texts]), _pack(size[texts].astype(np.uint32)), _pack(sig[texts].reshape(-1))
+        yield p, int(b - a), len(texts), _pack(step), _pack(np.searchsorted(texts, d[a:b]).astype(np.uint32)), _pack(side[a:b]), _pack(ids[texts]), _pack(size[texts].astype(np.uint32)), _pack_signs(sig[texts], size[texts])
 
 
 _BLOCK = "part int, postings int, texts int, f binary, text binary, side binary, id binary, n binary, sig binary"
 
 
-def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Whether the signatures of rows i and of rows j, which are no shorter, allow SHARE of common words."""
-    most = n[i] + (1 - 2 * SHARE) * n[j] + 1e-6
-    ok = (n[i] + 1e-6 >= SHARE * n[j]) & ((side[i] == 0) | (side[i] != side[j]))
-    return ok & (np.bitwise_count(s[i] ^ s[j]).sum(1, dtype=np.int64) <= most)
-
-
-def merge(f: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of one list whose texts may be alike; rows are in order of list and size."""
-    start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+def merge(f: np.ndarray, at: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of one list whose texts may be alike; rows are in order of list and size, ``at`` has their texts."""
+    # folded to 128 bits, parities still differ in no more bits than words
+    fold = _folded(sig, 2)
+    n, one, two, width = size[at], fold[at, 0], fold[at, 1], widths(size)
+
+    def alike(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose signatures allow SHARE of common words; texts of rows j are no shorter."""
+        most = n[i] + (1 - 2 * SHARE) * n[j] + 1e-6
+        apart = np.bitwise_count(one[i] ^ one[j]) + np.bitwise_count(two[i] ^ two[j])
+        ok = (apart <= most) & (n[i] + 1e-6 >= SHARE * n[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j, most = i[ok], j[ok], most[ok]
+        x, y = at[i], at[j]
+        differ, short = sig[x] ^ sig[y], width[x]
+        apart = np.bitwise_count(differ).sum(1, dtype=np.int64)
+        for _, w in SHORTER:  # the signature of the longer text is folded to the width of the other
+            mixed = np.flatnonzero((short == w) & (width[y] > w))
+            apart[mixed] = np.bitwise_count(_folded(differ[mixed], w)).sum(1, dtype=np.int64)
+        return i[apart <= most], j[apart <= most]
+
+    if not len(f):
+        return
+    start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
     end = np.append(start[1:], len(f)).astype(np.int64)
-    size = end - start
-    last = np.repeat(end, size)
-    i = np.flatnonzero(np.repeat(size <= MANY, size))
+    length = end - start
+    last = np.repeat(end, length)
+    i = np.flatnonzero(np.repeat(length <= MANY, length))
     d = 1
     while len(i := i[i + d < last[i]]):
-        ok = i[_alike(i, i + d, n, s, side)]
-        yield ok, ok + d
+        yield alike(i, i + d)
         d += 1
-    # folded to 128 bits, parities still differ in no more bits than words
-    one, two = np.bitwise_xor.reduce(s[:, ::2], 1), np.bitwise_xor.reduce(s[:, 1::2], 1)
     bound = np.minimum((2 - 2 * SHARE) * n + 1e-6, 255).astype(np.uint8)
-    for a, b in zip(start[size > MANY].tolist(), end[size > MANY].tolist()):
+    for a, b in zip(start[length > MANY].tolist(), end[length > MANY].tolist()):
         for x in range(a, b, 128):
             y = min(x + 128, b)
             # rows of one list up to the size that the longest of the block allows
             z = x + int(np.searchsorted(n[x:b], n[y - 1] / SHARE + 1e-6, "right"))
             apart = np.bitwise_count(one[x:y, None] ^ one[None, x:z]) + np.bitwise_count(two[x:y, None] ^ two[None, x:z])
-            at = np.flatnonzero(apart <= bound[x:y, None])
-            p, q = at // (z - x) + x, at % (z - x) + x
+            near = np.flatnonzero(apart <= bound[x:y, None])
+            p, q = near // (z - x) + x, near % (z - x) + x
             later = p < q
-            p, q = p[later], q[later]
-            ok = _alike(p, q, n, s, side)
-            yield p[ok], q[ok]
+            yield alike(p[later], q[later])
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,18 +231,19 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
     texts = np.array([r["texts"] for r in rows], np.int64)
     first = np.cumsum(texts) - texts
-    col = lambda name, count, kind, times=1: [_unpack(r[name], r[count] * times, kind) for r in rows]
+    col = lambda name, count, kind: [_unpack(r[name], r[count], kind) for r in rows]
     put = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     f = put([np.cumsum(x.astype(np.int64)) for x in col("f", "postings", np.uint32)], np.int64)
     at = put([x.astype(np.int64) + o for x, o in zip(col("text", "postings", np.uint32), first)], np.int64)
     side = put(col("side", "postings", np.uint8), np.uint8)
     ids, n = put(col("id", "texts", np.int64), np.int64), put(col("n", "texts", np.uint32), np.uint32).astype(np.int64)
-    sig = put(col("sig", "texts", np.uint64, SIGN), np.uint64).reshape(-1, SIGN)
+    ends = np.cumsum(texts)
+    sig = np.concatenate([np.zeros((0, SIGN), np.uint64), *(_unpack_signs(r["sig"], n[e - t : e]) for r, e, t in zip(rows, ends.tolist(), texts.tolist()))])
     del rows
     order = np.lexsort((n[at], f))
     f, at, side = f[order], at[order], side[order]
     held, new, fresh = np.zeros(0, np.int64), [], 0
-    for i, j in merge(f, n[at], sig[at], side):
+    for i, j in merge(f, at, n, sig, side):
         x, y = at[i], at[j]
         new.append(np.minimum(x, y) << 32 | np.maximum(x, y))
         fresh += len(i)
@@ -269,27 +310,40 @@ def class_pairs(df: DataFrame, key: str, title: str, summary: str) -> tuple[Data
     bags = cut(rows.join(members.filter("rep <> k").select("k"), "k", "left_anti").mapInArrow(encode, "k bigint, bag binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, texts, postings = np.zeros(COUNTERS, np.int64), 0, 0
+        total, texts, words, postings = np.zeros(COUNTERS, np.int64), 0, 0, 0
         for b in batches:
             size, _, _, dk, h = _features(b.column(1).to_pylist())
             total += np.bincount(h % COUNTERS, minlength=COUNTERS)
-            texts, postings = texts + len(size), postings + len(h)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary()), pa.array([texts]), pa.array([postings])], ["c", "texts", "postings"])
+            texts, words, postings = texts + len(size), words + int(size.sum()), postings + len(h)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary()), pa.array([texts]), pa.array([words]), pa.array([postings])], ["c", "texts", "words", "postings"])
 
-    sample = bags.limit(SAMPLE).mapInArrow(count, "c binary, texts bigint, postings bigint").collect()
+    sample = bags.limit(SAMPLE).mapInArrow(count, "c binary, texts bigint, words bigint, postings bigint").collect()
     order = sum((np.frombuffer(r["c"], np.int32) for r in sample), np.zeros(COUNTERS, np.int32))
-    scale = bags.count() / max(1, sum(r["texts"] for r in sample))
+    texts = max(1, sum(r["texts"] for r in sample))
+    scale = bags.count() / texts
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(scale * sum(r["postings"] for r in sample) / 2 / TASK))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = list(zip(*blocks(b.column(0).to_numpy(), b.column(1).to_pylist(), order, scale, parts)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in out[:3]), *(pa.array(c, pa.binary()) for c in out[3:])], [c.split()[0] for c in _BLOCK.split(", ")])
-
-    lists = bags.mapInArrow(post, _BLOCK).repartitionById(parts, F.col("part"))
-    candidates = lists.mapInArrow(_join, "a bigint, b bigint").distinct()
+    posted = 2 * (1 - SHARE) * sum(r["words"] for r in sample) / texts
+    rounds = math.ceil(parts * (1 - (1 - 1 / parts) ** posted) / AT_ONCE)
+
+    def merged(turn: range) -> DataFrame:
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    out = list(zip(*blocks(b.column(0).to_numpy(), b.column(1).to_pylist(), order, scale, parts, turn)))
+                    if out:
+                        out[0] = [p - turn.start for p in out[0]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in out[:3]), *(pa.array(c, pa.binary()) for c in out[3:])], [c.split()[0] for c in _BLOCK.split(", ")])
+
+        lists = bags.mapInArrow(post, _BLOCK).repartitionById(len(turn), F.col("part"))
+        return cut(lists.mapInArrow(_join, "a bigint, b bigint").distinct())
+
+    # written, so that the lists are gone when those of the next parts are made and the texts brought to the candidates
+    edge = [parts * r // max(1, rounds) for r in range(max(1, rounds) + 1)]
+    candidates = merged(range(edge[0], edge[1]))
+    for a, b in zip(edge[1:], edge[2:]):
+        candidates = candidates.unionAll(merged(range(a, b)))
+    if rounds > 1:
+        candidates = candidates.distinct()
     near = candidates.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
     return near.mapInArrow(_verify, "a bigint, b bigint"), members
 
