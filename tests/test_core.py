@@ -5,13 +5,15 @@ import os
 import random
 import time
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
-from tidewatch.operators import analytics, dedup, filters, rank, similar, state
+from tidewatch.operators import analytics, dedup, filters, graph, rank, similar, state
 from tidewatch.operators.graph import components
 from tidewatch.plans import queries as Q
 from tidewatch.runtime import CLEANUP, cut
@@ -191,6 +193,39 @@ def test_semantic_keeps_the_best_of_a_class_and_all_unlinked(spark):
     assert sorted(r.pos for r in dedup.semantic(df, links).collect()) == [3, 4, 5]
 
 
+def test_semantic_takes_no_summary_through_its_join(spark):
+    def nodes(p):
+        return [p] + [x for i in range(p.children().size()) for x in nodes(p.children().apply(i))]
+
+    df = spark.createDataFrame([(1, "news", "x", "a"), (2, "patent", "y", "b"), (3, None, None, None)], "pos long, category string, summary string, collected_at string")
+    out = dedup.semantic(df, spark.createDataFrame([(1, 2)], "a long, b long"))
+    assert out.columns == df.columns and sorted(r.pos for r in out.collect()) == [2, 3]
+    joins = [n for n in nodes(out.select("pos")._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    assert joins and all("summary#" not in n.output().mkString(" ") for n in joins)
+
+
+def test_links_of_a_family_are_fewer_than_its_texts_in_each_task(spark):
+    words = [f"word{i}" for i in range(10)]
+    texts = [" ".join(words + list(twice)) for twice in combinations(words, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "pos long, t string")
+    assert dedup.cosine_pairs(df, "pos", T.text("t"), 0.85, 50).count() == 120 * 119 // 2
+    links = dedup.cosine_links(df, "pos", T.text("t"), 0.85, 50)
+    assert links.count() <= 4 * 119
+    assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(120)}
+
+
+def test_forest_joins_what_its_edges_join(monkeypatch):
+    monkeypatch.setattr(graph, "GATHER", 50)
+    r = np.random.default_rng(5)
+    parts = [tuple(r.integers(0, 400, (2, 20))) for _ in range(15)]
+    (a, b), = graph.forest(iter(parts))
+    whole = graph.least_labels(*map(np.concatenate, zip(*parts)))
+    assert (a < b).all() and len(a) == len(whole[0]) - len(set(whole[1]))
+    joined = dict(zip(*map(np.ndarray.tolist, graph.least_labels(a, b))))
+    assert all(joined.get(n, n) == m for n, m in zip(*map(np.ndarray.tolist, whole)))
+    assert list(graph.forest(iter([]))) == []
+
+
 def test_unlike_texts_with_a_term_in_common_do_not_meet():
     # by one term each of them would meet all others: 500,000 candidates
     df, n = {0: 1000, **{i: 1 for i in range(1, 3001)}}, 1000

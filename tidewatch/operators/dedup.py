@@ -42,15 +42,17 @@ def cosine_pairs(df: DataFrame, key: str, body: Column, threshold: float, max_fe
 def cosine_links(df: DataFrame, key: str, body: Column, threshold: float, max_features: int) -> DataFrame:
     """(a, b): links that join the same texts as ``cosine_pairs``; texts of one vector are linked to one of them."""
     rows, idf = similar.classes(df, key, body, max_features)
-    return similar.near(rows, idf, threshold).select("a", "b").unionAll(rows.filter("k <> rep").select("rep", "k"))
+    return similar.links(rows, idf, threshold).unionAll(rows.filter("k <> rep").select("rep", "k"))
 
 
 def semantic(df: DataFrame, links: DataFrame, pos: str = "pos") -> DataFrame:
     """Representative of each component of the linked rows; rows without a link are kept.
 
     The representative is a patent before others, then has the longest summary, is the latest, comes first.
+    What rows are compared by is taken before the join, so summaries aren't shuffled for their length.
     """
     root = components(links).withColumnRenamed("node", pos)
-    w = W.partitionBy("_g").orderBy(F.desc(F.coalesce(F.col("category") == "patent", F.lit(False))), F.desc(F.length(text("summary"))), F.desc(text("collected_at")), pos)
-    grouped = df.join(root, pos, "left").withColumn("_g", F.coalesce("root", pos))
-    return grouped.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_g", "root")
+    by = {"_p": F.coalesce(F.col("category") == "patent", F.lit(False)), "_l": F.length(text("summary")), "_c": text("collected_at")}
+    w = W.partitionBy("_g").orderBy(*map(F.desc, by), pos)
+    grouped = df.withColumns(by).join(root, pos, "left").withColumn("_g", F.coalesce("root", pos))
+    return grouped.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_g", "root", *by)

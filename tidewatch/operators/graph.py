@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.runtime import cut, drop
 
-#: Edges that one task takes to their components by itself, in about 200 MB.
-LOCAL = 2_000_000
+#: Edges that one task takes to their components by itself, in about 200 MB; edges that a task gathers for a forest.
+LOCAL, GATHER = 2_000_000, 500_000
 
 
 def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,6 +32,22 @@ def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label[further] = label[label[further]]
 
 
+def forest(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges, the smaller node first, that join the same nodes as those given; fewer than there are nodes."""
+    held, n, most = [], 0, GATHER
+    for p in chain(parts, [None]):
+        if p is not None:
+            held.append(p)
+            n += len(p[0])
+        if held and (p is None or n >= most):
+            node, root = least_labels(*map(np.concatenate, zip(*held)))
+            apart = node != root
+            held = [(root[apart], node[apart])]
+            n = len(held[0][0])
+            most = max(GATHER, 2 * n)
+    yield from held
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if parts:

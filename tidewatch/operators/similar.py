@@ -10,7 +10,7 @@ with the postings, so a candidate is scored where it is met, and counted under i
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.operators.graph import forest
 from tidewatch.runtime import cut
 
 #: Lists of up to so many texts are paired many at a time; pairs that are scored at once; no second term in common.
@@ -138,6 +139,27 @@ def scored(key: np.ndarray, v: list[bytes], idf: np.ndarray, least: float) -> It
 
 def near(rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """(a, b, cosine): representatives of ``classes`` whose cosine reaches the threshold, the smaller first."""
+    return _met(rows, idf, threshold, lambda found: found, "cosine double")
+
+
+def links(rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): pairs that join the same representatives as ``near``.
+
+    Pairs grow with the square of a family of texts; so each task passes on a forest of those it finds, fewer than its texts.
+    """
+    if rows.schema["k"].dataType.simpleString() not in ("int", "bigint"):
+        return near(rows, idf, threshold).select("a", "b")
+
+    def joined(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in forest((p.column(0).to_numpy(), p.column(1).to_numpy()) for p in found):
+            for k in range(0, len(a), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + CHUNK]), pa.array(b[k : k + CHUNK])], ["a", "b"])
+
+    return _met(rows, idf, threshold, joined)
+
+
+def _met(rows: DataFrame, idf: np.ndarray, threshold: float, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *more: str) -> DataFrame:
+    """What ``then`` makes, in each task, of the batches (a, b, cosine) that the task finds."""
     kind = rows.schema["k"].dataType.simpleString()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,4 +205,4 @@ def near(rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = rows.filter("v is not null").select("k", "v").mapInArrow(post, f"key bigint, k {kind}, v binary")
-    return lists.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(join, f"a {kind}, b {kind}, cosine double")
+    return lists.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda batches: then(join(batches)), ", ".join([f"a {kind}", f"b {kind}", *more]))
